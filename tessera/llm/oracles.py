@@ -26,3 +26,39 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c ON c.node = d.doc_id
 """
+
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sides AS (
+  SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
+    length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>|/?ROLE\]|NAME\]|TURN\])', '\1\\\2\3', 'g')) AS len
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), parts AS (
+  SELECT *,
+    CASE WHEN before IS NOT DISTINCT FROM role THEN 6 WHEN role = 'user' THEN 7 WHEN role = 'assistant' THEN 0 WHEN role = 'system' THEN 7 ELSE 12 + length(role) END
+    + CASE WHEN after IS NOT DISTINCT FROM role THEN 0 WHEN role = 'user' THEN 8 WHEN role = 'assistant' THEN 4 WHEN role = 'system' THEN 8 ELSE 7 END AS extra
+  FROM sides
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(len + extra))::BIGINT AS formatted_chars
+FROM parts GROUP BY conv_id
+"""
+
+TOP_K = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
