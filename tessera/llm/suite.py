@@ -12,6 +12,7 @@ from tessera.llm.packing import pack_documents
 from tessera.llm.registry import register
 from tessera.llm.secrets import scan_versions
 from tessera.llm.store import table
+from tessera.llm.suffix_dedup import repeated_spans
 from tessera.llm.topk import top_k
 
 
@@ -52,6 +53,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@register("op8_suffix_array_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @register("op10_secret_scans")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = scan_versions(table(spark, sf_dir, "documents"))
