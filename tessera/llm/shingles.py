@@ -63,13 +63,13 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) ->
         row = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and the number of words before each document's start."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and the number of words before each document's start. ``breaks``: which bytes part words."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = np.empty(len(data) + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(breaks[data], out=inside[1:-1])
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets[(offsets > 0) & (offsets < len(data))]] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, langid, oracles
 from tessera.llm.decontaminate import contaminated
+from tessera.llm.html_extract import main_text
+from tessera.llm.licenses import license_spans
 from tessera.llm.ngram_join import ngram_components
 from tessera.llm.packing import pack_documents
 from tessera.llm.registry import register
@@ -46,6 +48,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+@register("op6_license_scans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_spans(table(spark, sf_dir, "documents"))
+
+
 @register("op7_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
@@ -58,6 +65,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
+@register("op9_html_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 @register("op10_secret_scans")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = scan_versions(table(spark, sf_dir, "documents"))
