@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, langid, secrets
-from tessera.llm.ngram_join import ngram_components
+from tessera.llm.ngram_join import BROADCAST_IDS, ngram_components
 from tessera.llm.packing import pack_documents
-from tessera.llm.store import Workspace, table
+from tessera.llm.store import Workspace, few, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = ngram_components(docs.select("doc_id", "text"))
     space = Workspace(spark, "near-duplicates")
-    kept = space.put("kept", found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")))
-    stays = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not kept.where("__rows > 1").isEmpty():
-        stays = stays.dropDuplicates(["doc_id"])
-    return stays.unionByName(docs.where("doc_id IS NULL"))
+    groups = space.put("groups", found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("rows")))
+    gone = groups.where("doc_id <> first").select("doc_id")
+    if few(gone, BROADCAST_IDS):
+        gone = F.broadcast(gone)
+    stays = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if not groups.where("doc_id = first AND rows > 1").isEmpty():
+        stays = stays.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(stays.where("doc_id IS NULL"))
+    return stays
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

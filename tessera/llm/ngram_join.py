@@ -218,18 +218,21 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sketch = spark.sparkContext.broadcast(shingle_sketch(texts.select("text")))
     signed = space.put("signed", texts.mapInArrow(_signer(sketch, percent), "id long, n long, h1 long, h2 long, g long, prefix array<long>"))
 
+    heads = space.put("heads", signed.select("id", "n", "h1", "h2"))
     usable = signed.where("n > 0 AND id IS NOT NULL")
     classes = space.put("classes", usable.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.min("g").alias("g")))
     groups = space.put("groups", classes.groupBy("n", "g").agg(F.min("rep").alias("gid"), F.count("*").alias("members")))
     shared = classes.join(groups.where("members > 1").drop("members"), ["n", "g"]).where("rep <> gid").select(F.col("rep").alias("member"), "gid")
     shared = space.put("shared", shared)
 
-    heads = groups.select(F.col("gid").alias("id"), "n", "g")
-    tokens = usable.select("id", "n", "g", "prefix").join(heads, ["id", "n", "g"], "left_semi").select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    firsts = groups.select(F.col("gid").alias("id"), "n", "g")
+    tokens = usable.select("id", "n", "g", "prefix").join(firsts, ["id", "n", "g"], "left_semi").select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     runs = tokens.repartition(F.col("token")).sortWithinPartitions("token", "pos", "id")
     runs = runs.select("token", "id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
     runs = space.put("runs", runs.mapInArrow(_runs(percent), "token long, id long, n long, pos long, hub long, near boolean"))
 
+    space.drop("signed")
+
     pairs = runs.where("near").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     links = _linked(pairs.unionByName(shared.select(F.col("member").alias("a"), F.col("gid").alias("b"))), texts, percent, space, "hub")
     roots = space.put("roots-1", components(links, space, "stars-1"))
@@ -239,6 +242,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = named.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
     named = named.select("token", "id", "n", "pos", F.coalesce("own", "id").alias("own"), F.coalesce("hub_root", "hub").alias("hub_root"))
     named = space.put("named", named)
+    space.drop("runs")
     apart = named.where("own <> hub_root").select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "pos", "own")))
     rest = apart.join(named, "token").where(
         (F.col("own_a") != F.col("own"))
@@ -248,9 +252,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     late = _linked(rest.select(F.greatest("id_a", "id").alias("a"), F.least("id_a", "id").alias("b")), texts, percent, space, "rest")
     roots = space.put("roots-2", components(links.unionByName(late), space, "stars-2"))
 
+    space.drop("named")
+
     found = classes.select("n", "h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     found = space.put("found", found.select("n", "h1", "h2", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id")))
-    whole = signed.select("id", "n", "h1", "h2").join(found, ["n", "h1", "h2"], "left")
+    whole = heads.join(found, ["n", "h1", "h2"], "left")
     own = F.when(F.col("id").isNotNull(), F.col("class_id"))
     return whole.select(
         F.col("id").alias("doc_id"),
