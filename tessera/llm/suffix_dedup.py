@@ -46,6 +46,8 @@ SPLIT = 4
 DIRECT = 8000
 #: Contexts that one index holds, if no anchor has more.
 BLOCK = 2500
+#: Anchors among which equal contexts are thinned out before the shuffle.
+COMBINED = 1 << 20
 #: Documents with marks (or copies) that may be broadcast; beyond it, a shuffle join.
 BROADCAST_DOCS = 300_000
 
@@ -53,34 +55,52 @@ _FAR = (1 << 31) - 1
 
 
 def _anchor_rows(window: int, gram: int):
+    """(doc, text) -> (key, anchor, context, doc, place, again).
+
+    Of equal contexts within a batch only the earliest goes to its anchor (``key`` is the
+    anchor); the others are known to stand earlier and travel under a key of their document,
+    so that text which very many documents share is thinned out before the shuffle.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            found: list[tuple[np.ndarray, ...]] = []
             for row, data, offsets in text_chunks(batch.column(1)):
-                docs, places, hashes, contexts = [], [], [], []
                 for k in range(len(offsets) - 1):
                     text = data[offsets[k] : offsets[k + 1]]
                     sums = prefix_sums(text)
-                    at, found = anchors(text, window, gram, sums)
+                    at, hashes = anchors(text, window, gram, sums)
                     if len(at):
                         left, right = np.maximum(at - (window - gram), 0), np.minimum(at + window, len(text))
-                        docs.append(np.full(len(at), ids[row + k]))
-                        places.append(at)
-                        hashes.append(found)
                         # how far an end of the document cuts a context short is part of its digest
-                        contexts.append(mix(digests(*sums, left, right) + (at - left).astype(np.uint64)))
-                if docs:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(contexts).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places).astype(np.int32))],
-                        ["anchor", "context", "doc", "place"],
-                    )
+                        contexts = mix(digests(*sums, left, right) + (at - left).astype(np.uint64))
+                        found.append((hashes, contexts, np.full(len(at), ids[row + k]), at))
+                if sum(len(x[0]) for x in found) > COMBINED:
+                    yield _thinned(found)
+                    found = []
+            if found:
+                yield _thinned(found)
 
     return run
 
 
+def _thinned(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    anchor, context, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((place, doc))
+    both = mix(anchor + mix(context))[order]
+    sort = np.argsort(both, kind="stable")
+    again = np.zeros(len(both), bool)
+    again[order[sort[1:]]] = both[sort[1:]] == both[sort[:-1]]
+    key = np.where(again, mix(doc.astype(np.uint64) * np.uint64(4096) + (place >> 9).astype(np.uint64)), anchor)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key.view(np.int64)), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32)), pa.array(again)], ["key", "anchor", "context", "doc", "place", "again"]
+    )
+
+
 def _sifter(most: int):
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (anchor, context, doc, place), sorted -> (kind, anchor, doc, place).
+        """Rows (anchor, context, doc, place, again), sorted -> (kind, anchor, doc, place).
 
         Kind 0: the context stood before. Kind 1: the first of one of several contexts of the
         anchor. Kind 2 (no doc): the anchor has more than ``most`` contexts. Memory is one batch.
@@ -94,6 +114,10 @@ def _sifter(most: int):
 
         for batch in batches:
             anchor, context, doc, place = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+            known = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            if known.any():
+                yield rows(0, anchor[known], doc[known], place[known])
+                anchor, context, doc, place = (x[~known] for x in (anchor, context, doc, place))
             if not len(anchor):
                 continue
             again = np.zeros(len(anchor), bool)
@@ -350,8 +374,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = F.broadcast(copies) if few(copies, BROADCAST_DOCS) else copies
     texts = keyed.where(F.octet_length("text") >= window).join(gone, "doc", "left_anti").select("doc", "text")
 
-    found = texts.mapInArrow(_anchor_rows(window, gram), "anchor long, context long, doc long, place int")
-    sorted_rows = found.repartition(F.col("anchor")).sortWithinPartitions("anchor", "context", "doc", "place")
+    found = texts.mapInArrow(_anchor_rows(window, gram), "key long, anchor long, context long, doc long, place int, again boolean")
+    sorted_rows = found.repartition(F.col("key")).drop("key").sortWithinPartitions("anchor", "context", "doc", "place")
     sifted = space.put("sifted", sorted_rows.mapInArrow(_sifter(hot_contexts), "kind int, anchor long, doc long, place int"))
 
     hot = sifted.where("kind = 2").select("anchor").distinct().withColumn("hot", F.lit(True))
@@ -367,6 +391,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copied = copies.select("doc", F.lit(0).alias("start"), F.lit(_FAR).alias("end"))
     every = marks.unionByName(again).unionByName(copied)
     spans = space.put("spans", every.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(_merge, "doc long, spans binary"))
+    space.drop("sifted")
+    space.drop("marks")
     if few(spans, BROADCAST_DOCS):
         spans = F.broadcast(spans)
     whole = keyed.join(spans, "doc", "left").select("doc_id", "text", "spans")
