@@ -90,8 +90,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", length: Column | Non
     pieces = pieces.select("id", (F.col("part") * most).alias("start"), F.least(F.col("n") - F.col("part") * most, F.lit(most)).cast("int").alias("n"))
     total = sizes.select(F.sum(F.greatest(F.ceil(F.col("n") / most), F.lit(1)))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_PIECES))
-    # rows that repeat an id are told apart, so that copies of one id do not meet in one shard
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "start", F.monotonically_increasing_id()), F.lit(shards)))
+    # an id (or null) that very many rows have is spread by row, so that it does not fill one shard
+    often = not sizes.groupBy("id").count().where(F.col("count") > SHARD_PIECES // 8).isEmpty()
+    place = [F.col("id"), F.col("start"), *([F.monotonically_increasing_id()] if often else [])]
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(*place), F.lit(shards)))
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
