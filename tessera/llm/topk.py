@@ -111,7 +111,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     return np.nonzero(found)[0], best_id[found], best[found]
 
 
-def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best other rows of each query row.
 
     Defined cases: rows with a null id, and vectors that are null, empty or hold null or
@@ -131,7 +131,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     asked = space.put("asked", rows.where("q").select("id", "v"))
     # query blocks of bounded size, by ranges of the id's hash order
     total = asked.count()
-    blocks = -(-total // QUERY_BLOCK)
+    blocks = -(-total // query_block)
     spread = F.pmod(F.xxhash64("id", "v"), F.lit(max(1, 2 * blocks)))
     found = []
     for block in range(2 * blocks if blocks > 1 else blocks):
