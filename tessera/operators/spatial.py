@@ -70,11 +70,23 @@ def blur_kernel(spark: SparkSession, half_width: int) -> DataFrame:
     return k.select((F.col("y") - size // 2).alias("dy"), (F.col("x") - size // 2).alias("dx"), (F.col("v") / F.sum("v").over(Window.partitionBy())).alias("k")).where("k > 0")
 
 
-def convolve(footprint: DataFrame, kernel: DataFrame, height: int, width: int) -> DataFrame:
-    """Sparse 2-D convolution, ``same`` size: each entry times each kernel offset, summed per pixel.
+def convolve(footprint: DataFrame, kernel: DataFrame, height: int, width: int, mode: str = "same") -> DataFrame:
+    """Sparse 2-D convolution: each entry times each kernel offset, summed per pixel.
 
-    The kernel has a fixed size and is broadcast; there is no dense image anywhere.
+    ``same`` keeps the frame, ``full`` grows it by the kernel's reach on each side, ``valid``
+    keeps the places where the whole kernel is inside. The kernel has a fixed size and is
+    broadcast; there is no dense image anywhere.
     """
+    if mode != "same":
+        reach = kernel.agg(F.max(F.abs("dy")), F.max(F.abs("dx"))).first()
+        grow = 1 if mode == "full" else -1
+        ry, rx = reach[0] * grow, reach[1] * grow
+        moved = footprint.withColumn("pixel", (_y(width) + ry) * (width + 2 * rx) + _x(width) + rx) if mode == "full" else footprint
+        if mode == "full":
+            return convolve(moved, kernel, height + 2 * ry, width + 2 * rx)
+        whole = convolve(footprint, kernel, height, width)
+        inside = (_y(width) >= -ry) & (_y(width) < height + ry) & (_x(width) >= -rx) & (_x(width) < width + rx)
+        return whole.where(inside).withColumn("pixel", (_y(width) + ry) * (width + 2 * rx) + _x(width) + rx)
     spread = footprint.crossJoin(F.broadcast(kernel)).select("roi_id", "session_id", (_y(width) + F.col("dy")).alias("y"), (_x(width) + F.col("dx")).alias("x"), (F.col("weight") * F.col("k")).alias("w"))
     inside = spread.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
     return inside.groupBy("roi_id", "session_id", (F.col("y") * width + F.col("x")).alias("pixel")).agg(F.sum("w").alias("weight"))
@@ -213,13 +225,45 @@ def remap_to_flow(remap: DataFrame) -> DataFrame:
 
 
 def global_minmax(pixels: DataFrame) -> DataFrame:
-    """Values scaled to 0..1 over each session's image."""
-    w = Window.partitionBy("session_id")
-    low, high = F.min("v").over(w), F.max("v").over(w)
-    return pixels.withColumn("v", F.coalesce(F.try_divide(F.col("v") - low, high - low), F.lit(0.0)))
+    """Values scaled to 0..1 over all sessions' images together (the range is one row)."""
+    span = pixels.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return pixels.crossJoin(F.broadcast(span)).withColumn("v", F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))).drop("lo", "hi")
 
 
-def mix_projection(fov: DataFrame, projection: DataFrame, share: float) -> DataFrame:
-    """FOV images mixed with the objects' projection: ``(1 - share) * fov + share * roi``."""
-    both = fov.join(projection.withColumnRenamed("v", "r"), ["session_id", "pixel"], "left")
-    return both.select("session_id", "pixel", (F.col("v") * (1 - share) + F.coalesce("r", F.lit(0.0)) * share).alias("v"))
+def mix_footprints(fov: DataFrame, footprint: DataFrame, share: float) -> DataFrame:
+    """FOV images with their objects drawn in: ``(1 - share) * fov + share**2 * mean(fov) * sum of max-normalised weights``."""
+    drawn = footprint.withColumn("w", F.col("weight") / F.greatest(F.max("weight").over(Window.partitionBy("roi_id")), F.lit(S.TINY)))
+    drawn = drawn.groupBy("session_id", "pixel").agg(F.sum("w").alias("r"))
+    both = fov.join(drawn, ["session_id", "pixel"], "left").crossJoin(F.broadcast(fov.agg(F.avg("v").alias("m"))))
+    return both.select("session_id", "pixel", (F.col("v") * (1 - share) + F.coalesce("r", F.lit(0.0)) * F.col("m") * share**2).alias("v"))
+
+
+def warp_footprints(footprint: DataFrame, remap: DataFrame, width: int) -> DataFrame:
+    """Footprints sampled at ``remap(session_id, y, x, sy, sx)``, bilinear, negatives clipped, each summing to one.
+
+    Every object is gathered through its session's remap: an equi-join on source pixels, so
+    only pixels that an object touches are looked at.
+    """
+    fy, fx = F.floor("sy").cast("bigint"), F.floor("sx").cast("bigint")
+    wy, wx = F.col("sy") - fy, F.col("sx") - fx
+    corners = F.array(*(F.struct(((fy + a) * width + fx + b).alias("source"), ((wy if a else 1 - wy) * (wx if b else 1 - wx)).alias("k"), (fx + b).between(0, width - 1).alias("ok")) for a in (0, 1) for b in (0, 1)))
+    wanted = remap.select("session_id", (F.col("y") * width + F.col("x")).alias("to"), F.explode(corners).alias("n")).where("n.k > 0 AND n.ok").select("session_id", "to", F.col("n.source").alias("pixel"), "n.k")
+    moved = footprint.join(wanted, ["session_id", "pixel"]).groupBy("roi_id", "session_id", F.col("to").alias("pixel")).agg(F.sum(F.greatest("weight", F.lit(0.0)) * F.col("k")).alias("weight"))
+    whole = F.sum("weight").over(Window.partitionBy("roi_id"))
+    return moved.withColumn("weight", F.coalesce(F.try_divide(F.col("weight"), whole), F.lit(0.0)))
+
+
+def shift_remap(spark: SparkSession, shifts: DataFrame, height: int, width: int) -> DataFrame:
+    """``remap`` of whole-pixel shifts ``(session_id, dy, dx)`` over a frame."""
+    grid = spark.range(height * width).select(F.floor(F.col("id") / width).cast("bigint").alias("y"), (F.col("id") % width).alias("x"))
+    return grid.crossJoin(F.broadcast(shifts)).select("session_id", "y", "x", (F.col("y") - F.col("dy")).cast("double").alias("sy"), (F.col("x") - F.col("dx")).cast("double").alias("sx"))
+
+
+def in_polygon(y: Column, x: Column, corners: list[tuple[float, float]]) -> Column:
+    """Whether a point is inside a drawn region (``corners`` as (y, x)), by crossing parity."""
+    inside = F.lit(False)
+    for (ya, xa), (yb, xb) in zip(corners, corners[1:] + corners[:1], strict=True):
+        if ya != yb:
+            crosses = ((F.lit(ya) > y) != (F.lit(yb) > y)) & (x < F.lit(xa) + (y - F.lit(ya)) * F.lit((xb - xa) / (yb - ya)))
+            inside = inside != crosses
+    return inside

@@ -276,12 +276,12 @@ def noise_rescue(spark, d):
     r = H.roi(spark, d)
     first = r.where("label >= 0").groupBy("session_id", "label").agg(F.min("roi_id").alias("roi_id")).select("roi_id", F.lit(True).alias("own"))
     labels = r.join(first, "roi_id", "left").select("roi_id", "session_id", F.when(F.col("own"), F.col("label")).otherwise(-1).cast("bigint").alias("label"))
-    return G.noise_rescue(distances(spark, d).where("inter"), labels, 0.5)
+    return G.noise_rescue(distances(spark, d).where("inter"), labels, 0.62)
 
 
 @register("constrained_clustering")
 def constrained_clustering(spark, d):
-    return G.cluster(distances(spark, d).where("d < 0.5"), H.roi(spark, d), rescue_cutoff=0.5)
+    return G.cluster(distances(spark, d).where("d < 0.62"), H.roi(spark, d), rescue_cutoff=0.62)
 
 
 @register("sequential_assignment")

@@ -138,10 +138,24 @@ def remap_bilinear(spark, d):
     return P.remap_bilinear(image, P.flow_to_remap(flow)).select("session_id", "y", "x", F.round("v", 6).alias("v"))
 
 
-@register("mix_fov", _FP + "SELECT session_id, pixel, round((v - lo) / (hi - lo) * 0.75 + 0.25 * v, 6) AS v FROM (SELECT *, min(v) OVER (PARTITION BY session_id) AS lo, max(v) OVER (PARTITION BY session_id) AS hi FROM (SELECT session_id, pixel, max(weight) AS v FROM footprint GROUP BY ALL))")
+_FOV = "fov AS (SELECT session_id, pixel, (v - (SELECT min(v) FROM p)) / ((SELECT max(v) FROM p) - (SELECT min(v) FROM p)) AS v FROM p), drawn AS (SELECT session_id, pixel, sum(weight / m) AS r FROM (SELECT *, max(weight) OVER (PARTITION BY roi_id) AS m FROM footprint) GROUP BY ALL)"
+
+
+@register("mix_fov", _FP.rstrip() + ", p AS (SELECT session_id, pixel, max(weight) AS v FROM footprint GROUP BY ALL), " + _FOV + " SELECT session_id, pixel, round(v * 0.75 + coalesce(r, 0) * (SELECT avg(v) FROM fov) * 0.0625, 6) AS v FROM fov LEFT JOIN drawn USING (session_id, pixel)")
 def mix_fov(spark, d):
-    p = P.max_projection(H.footprint(spark, d))
-    return P.mix_projection(P.global_minmax(p), p, 0.25).select("session_id", "pixel", F.round("v", 6).alias("v"))
+    f = H.footprint(spark, d)
+    return P.mix_footprints(P.global_minmax(P.max_projection(f)), f, 0.25).select("session_id", "pixel", F.round("v", 6).alias("v"))
+
+
+@register("warp_footprints", _FP + "SELECT roi_id, session_id, pixel, round(w / sum(w) OVER (PARTITION BY roi_id), 9) AS weight FROM (SELECT roi_id, session_id, (pixel // 40 + 2) * 40 + pixel % 40 + 1 AS pixel, weight AS w FROM footprint WHERE pixel // 40 + 2 < 40 AND pixel % 40 + 1 < 40)")
+def warp_footprints(spark, d):
+    shifts = spark.range(8).select(F.col("id").cast("int").alias("session_id"), F.lit(2).alias("dy"), F.lit(1).alias("dx"))
+    return P.warp_footprints(H.footprint(spark, d), P.shift_remap(spark, shifts, 40, WIDTH), WIDTH).select("roi_id", "session_id", "pixel", F.round("weight", 9).alias("weight"))
+
+
+@register("polygon_region", Q.with_(Q.ROI) + "SELECT roi_id FROM roi WHERE cy >= 100 AND cy < 300 AND cx >= 50 + (cy - 100) * 0.5 AND cx < 350 - (cy - 100) * 0.25")
+def polygon_region(spark, d):
+    return H.roi(spark, d).where(P.in_polygon(F.col("cy").cast("double"), F.col("cx").cast("double"), [(100.0, 50.0), (100.0, 350.0), (300.0, 300.0), (300.0, 150.0)])).select("roi_id")
 
 
 @register("stat_to_footprint", "SELECT session_id, roi_idx, pixel, round(sum(lam) / any_value(total), 9) AS weight FROM (SELECT (s % 8)::INTEGER AS session_id, s AS roi_idx, (p // 40 + 1) * 40 + p % 40 + 2 AS pixel, q AS lam, sum(q) OVER (PARTITION BY s) AS total FROM (SELECT l_suppkey AS s, l_partkey AS p, l_quantity AS q FROM lineitem)) GROUP BY session_id, roi_idx, pixel")
