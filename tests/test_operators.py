@@ -115,6 +115,15 @@ def test_noise_rescue_and_sequential_assignment(spark):
     assert len(scores) == 2
 
 
+def test_both_ways_to_components(spark):
+    links = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 20)] + [(50, 50)]
+    nodes = spark.createDataFrame([(k,) for k in [*range(31), 40, 50, *range(100, 120)]], "roi_id long")
+    edges = spark.createDataFrame(links, "i long, j long").repartition(3)
+    want = sorted([(k, 0) for k in range(31)] + [(40, 40), (50, 50)] + [(k, 100) for k in range(100, 120)])
+    assert rows(graph.connected_components(nodes, edges), "roi_id", "component") == want
+    assert rows(graph.min_label_components(nodes, edges), "roi_id", "component") == want
+
+
 def test_clusters_of_a_graph_with_known_objects(spark):
     rng = np.random.RandomState(42)
     pairs = []
