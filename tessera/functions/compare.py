@@ -13,7 +13,7 @@ def differences(a: Any, b: Any, rtol: float = 1e-7, atol: float = 0.0, at: str =
     if isinstance(a, Mapping) and isinstance(b, Mapping):
         ka, kb = ({k for k in m if not str(k).startswith("_")} for m in (a, b))
         out = [f"{at}.{k}".strip(".") + " is on one side only" for k in sorted(map(str, ka ^ kb))]
-        for k in ka & kb:
+        for k in sorted(ka & kb, key=str):
             out += differences(a[k], b[k], rtol, atol, f"{at}.{k}".strip("."))
         return out
     if isinstance(a, np.ndarray) or isinstance(b, np.ndarray):
