@@ -26,7 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables of one operator call, below one folder that is removed when the session ends."""
+    """Tables of one operator call, below one folder of their own.
+
+    The call's result reads some of them, so they stay until ``drop``, or ``close`` once the
+    result has been written, or until the cluster clears its checkpoint folder.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -40,8 +44,14 @@ class Workspace:
 
     def drop(self, table: str) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        self._delete(f"{self.root}/{table}")
+
+    def close(self) -> None:
+        """Delete all tables."""
+        self._delete(self.root)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
