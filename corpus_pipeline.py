@@ -72,6 +72,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     space = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = space.put(f"{k}-{name}", stage(spark, docs, sf_dir))
+        if before:
+            space.drop(before)
+        before = f"{k}-{name}"
     return docs

@@ -28,7 +28,7 @@ ROWS_PER_LANGUAGE = 1000
 ROWS_IN_ALL = 20_000
 UNDETERMINED = "und"
 #: What the pipeline's stage asks of the calibrated score to keep a document.
-KEEP_SCORE = 0.4
+KEEP_SCORE = 0.3
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _letters: list[np.ndarray] = []
