@@ -15,7 +15,9 @@ sets. The steps:
 5. *Verify.* Pairs expand to members; the texts of both are fetched and compared.
 6. *Rest.* With the components of step 5 known, only pairs of *different* components
    can still change the result. All of these that pass the filters are verified, by an
-   equi-join on the shingle between the rows that are apart from their hub and all rows.
+   equi-join on the shingle between the rows that are apart from their hub and all rows,
+   and likewise by an equi-join on the group between its members, whose prefix shingles
+   need not occur in any other group.
 
 No bucket, partner or candidate is capped, and all links that join components are
 found, so the components are exact.
@@ -201,6 +203,16 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int, space: Workspace,
     return space.put(f"{tag}-links", found)
 
 
+def _apart_in_groups(groups: DataFrame, shared: DataFrame, roots: DataFrame, space: Workspace) -> DataFrame:
+    """``id_a, id``: pairs of one group's members in different components. Equal sizes and prefixes pass every filter, whatever other groups hold."""
+    members = groups.where("members > 1").select("gid", F.col("gid").alias("id")).unionByName(shared.select("gid", F.col("member").alias("id")))
+    members = members.join(roots.select(F.col("node").alias("id"), F.col("root").alias("own")), "id", "left")
+    members = members.join(roots.select(F.col("node").alias("gid"), F.col("root").alias("gid_root")), "gid", "left")
+    members = space.put("members", members.select("gid", "id", F.coalesce("own", "id").alias("own"), F.coalesce("gid_root", "gid").alias("gid_root")))
+    apart = members.where("own <> gid_root").select("gid", F.col("id").alias("id_a"), F.col("own").alias("own_a"))
+    return apart.join(members, "gid").where("own_a <> own").select("id_a", "id")
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, class_id, component_id``.
 
@@ -249,10 +261,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         & (F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * percent)
         & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n") - F.col("pos")) * (100 + percent) >= (F.col("n_a") + F.col("n")) * percent)
     )
+    rest = rest.select("id_a", "id").unionByName(_apart_in_groups(groups, shared, roots, space))
     late = _linked(rest.select(F.greatest("id_a", "id").alias("a"), F.least("id_a", "id").alias("b")), texts, percent, space, "rest")
     roots = space.put("roots-2", components(links.unionByName(late), space, "stars-2"))
 
     space.drop("named")
+    space.drop("members")
 
     found = classes.select("n", "h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     found = space.put("found", found.select("n", "h1", "h2", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id")))

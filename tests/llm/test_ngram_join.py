@@ -42,6 +42,22 @@ def test_components_equal_brute_force(spark, seed):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("other", [False, True])
+def test_members_of_one_group_that_miss_its_first_id(spark, other):
+    """Texts 1, 2, 3 have equal sizes and prefixes; 2 and 3 link with each other only. ``other`` shares their last prefix shingle."""
+    start = [f"p{k}" for k in range(25)]
+    body = [f"y{k}" for k in range(75)]
+    tails = [[f"x{k}" for k in range(79)], body + [f"s{k}" for k in range(4)], body + [f"t{k}" for k in range(4)]]
+    rows = [(k, " ".join(start + tail)) for k, tail in enumerate(tails, 1)]
+    for k, tail in enumerate(tails):  # makes the tails' shingles frequent, so that the prefixes lie in ``start``
+        rows += [(10 + 10 * k + m, " ".join(start[-4:] + tail + [f"f{k}x{m}x{i}" for i in range(100)])) for m in range(6)]
+    if other:
+        rows.append((90, " ".join(start[:5])))
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got}[3] == 2
+
+
 def test_odd_rows(spark):
     empty = ngram_components(spark.createDataFrame([], "doc_id long, text string"))
     assert empty.count() == 0
