@@ -5,7 +5,9 @@ template the least is kept, and an inverted index maps it to (template, place).
 index has a fixed size and is broadcast. A document is hashed whole, in one vectorised
 pass; only documents that hit the index go on. Hits of a template on near diagonals form
 a candidate, which is aligned to the template within a band (match +2, other -1, local);
-the candidate is reported if enough of the template's words match, with its span.
+the candidate is reported if enough of the template's words match, with its span. Of
+overlapping candidates that are variants of one licence, the one that fits best counts.
+The list of templates is fixed: notices it lacks, SPDX lines among them, are not reported.
 Nothing is shuffled.
 """
 
@@ -51,6 +53,14 @@ TEMPLATES = {
     "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
         Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any
         later version.""",
+    "LGPL-3.0": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for
+        more details.""",
     "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
         following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
         conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
@@ -68,6 +78,20 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
+#: Variants of one licence: near the same words, of which the few that differ decide.
+FAMILIES = dict.fromkeys(("GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0"), "GNU")
+#: Templates so short that all their words must match.
+WHOLE = set()
+for _kind, _long in {"BY": "", "BY-SA": "-ShareAlike", "BY-ND": "-NoDerivatives", "BY-NC": "-NonCommercial", "BY-NC-SA": "-NonCommercial-ShareAlike", "BY-NC-ND": "-NonCommercial-NoDerivatives"}.items():
+    for _version, _scope in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES.setdefault(f"CC-{_kind}-{_version}", f"This work is licensed under a Creative Commons Attribution{_long} {_version} {_scope} License.")
+        FAMILIES[f"CC-{_kind}-{_version}"] = "CC"
+    for _version in ("4.0", "3.0", "2.5", "2.0", "1.0", ""):
+        _name = f"CC-{_kind}{'-' * bool(_version)}{_version}-line"
+        TEMPLATES[_name] = f"Licensed under CC {_kind} {_version}".rstrip()
+        FAMILIES[_name] = "CC"
+        WHOLE.add(_name)
+
 _WORD = re.compile(r"[A-Za-z0-9\x80-\U0010FFFF]+")
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -138,7 +162,7 @@ class Index:
         for at in self.hits(grams):
             for k, place in self.places[int(np.searchsorted(self.keys, grams[at]))]:
                 diagonals.setdefault(k, []).append((int(at) - place, int(at)))
-        out = []
+        out, missing = [], []
         for k, hits in sorted(diagonals.items()):
             template = self.words[k]
             band = 4 + len(template) // 8
@@ -151,10 +175,30 @@ class Index:
                 low, high = group[0][0], group[-1][0]
                 left, right = max(0, low - band), min(len(found_words), high + len(template) + band)
                 matched, first, last = align(template, [w for w, _, _ in found_words[left:right]], low - left, high - left, band)
-                if matched >= coverage * len(template):
+                if matched >= (1 if self.names[k] in WHOLE else coverage) * len(template):
+                    missing.append(len(template) - matched)
                     out.append((self.names[k], round(matched / len(template), 6), matched, found_words[left + first][1], found_words[left + last][2]))
                 group = [hit]
-        return sorted(out, key=lambda x: (x[3], x[4], x[0]))
+        return _best_variants(sorted(zip(out, missing, strict=True), key=lambda x: (x[0][3], x[0][4], x[0][0])))
+
+
+def _best_variants(found: list[tuple[tuple, int]]) -> list[tuple]:
+    """``(candidate, words missing)`` in order of start -> candidates without those that overlap a better kept one of their family."""
+    rank = [(lost, -x[2]) for x, lost in found]
+    over: list[list[int]] = [[] for _ in found]
+    for a, (x, _) in enumerate(found):
+        family = FAMILIES.get(x[0])
+        for b in range(a + 1, len(found) if family else 0):
+            if found[b][0][3] >= x[4]:
+                break
+            if FAMILIES.get(found[b][0][0]) == family:
+                over[a].append(b)
+                over[b].append(a)
+    beaten: set[int] = set()
+    for a in sorted(range(len(found)), key=rank.__getitem__):
+        if a not in beaten:
+            beaten.update(b for b in over[a] if rank[b] > rank[a])
+    return [x for a, (x, _) in enumerate(found) if a not in beaten]
 
 
 def align(template: list[str], part: list[str], low: int, high: int, band: int) -> tuple[int, int, int]:
@@ -185,7 +229,8 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``start`` and ``end`` count code points, end exclusive. Defined cases: null, empty and
     word-less texts give no row; repeated rows give repeated rows; a null id is reported as
-    null; templates that overlap in a text are all reported; an empty table gives no rows;
+    null; templates that overlap in a text are all reported, but of variants of one licence
+    (``FAMILIES``) only the best; an empty table gives no rows;
     other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Index(templates or TEMPLATES))

@@ -33,6 +33,21 @@ def test_changed_templates_keep_their_coverage(spark):
     assert L.license_spans(table.limit(0)).count() == 0
 
 
+def test_every_licence_line_of_the_harness_is_reported(spark):
+    lines = {"Apache-2.0-line": "Licensed under the Apache License, Version 2.0.", "MIT-line": "Released under the MIT License.", "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0."}
+    rows = [(k, f"some prose\n{line}\nmore prose") for k, line in enumerate(lines.values())]
+    got = L.license_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["license"], r["coverage"]) for r in got) == [(k, name, 1.0) for k, name in enumerate(lines)]
+
+
+def test_variants_of_a_licence_are_told_apart():
+    index = L.Index(L.TEMPLATES)
+    for name in L.FAMILIES:
+        assert [f[0] for f in index.find(f"prose here {L.TEMPLATES[name]} prose there")] == [name]
+    assert [f[0] for f in index.find("Licensed under CC BY 4.0. Licensed under CC BY-SA 3.0.")] == ["CC-BY-4.0-line", "CC-BY-SA-3.0-line"]
+    assert not index.find("Licensed under CC terms of 4.0")
+
+
 def test_alignment_equals_the_full_local_one():
     def full(a, b):
         best = 0
