@@ -317,9 +317,11 @@ def mutual_nn_match(spark, d):
 def phase_correlation(spark, d):
     from tessera.operators.align import register_pairs, to_template
 
-    f = H.footprint(spark, d).where("pixel < 1600").groupBy("session_id", "pixel").agg(F.max("weight").alias("v"))
-    cells = f.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pixel").cast("int"), "v"))).alias("m"))
-    fov = cells.select("session_id", F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("img"))
+    f = H.footprint(spark, d).groupBy("session_id", "pixel").agg(F.max("weight").alias("v"))
+    height = H.frame_height(f, 40)
+    grid = f.select("session_id").distinct().crossJoin(F.broadcast(spark.range(height * 40).toDF("pixel")))
+    cells = grid.join(f, ["session_id", "pixel"], "left").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pixel", F.coalesce("v", F.lit(0.0)).alias("v")))).alias("m"))
+    fov = cells.select("session_id", F.col("m.v").alias("img"))
     s = fov.select(F.col("session_id").alias("a"))
     pairs = s.crossJoin(F.broadcast(s.toDF("b"))).where("a < b")
-    return to_template(register_pairs(fov, pairs, 40, 40), 0, 0.0)
+    return to_template(register_pairs(fov, pairs, height, 40), 0, 0.0)

@@ -138,6 +138,22 @@ def remap_bilinear(spark, d):
     return P.remap_bilinear(image, P.flow_to_remap(flow)).select("session_id", "y", "x", F.round("v", 6).alias("v"))
 
 
+_ALL_IMG = "img AS (SELECT session_id, pixel // 40 AS y, pixel % 40 AS x, max(weight) AS v FROM footprint GROUP BY ALL)"
+
+
+@register("remap_bilinear_whole", Q.with_(Q.FOOTPRINT, _ALL_IMG) + """SELECT session_id, y, x, round(sum(k * coalesce(v, 0)), 6) AS v FROM (
+  SELECT g.session_id, g.y, g.x, n.k, img.v FROM (SELECT session_id, y, x FROM (SELECT DISTINCT session_id FROM img), (SELECT unnest(range(max(y) + 1)) AS y FROM img) a, range(40) b(x)) g,
+    (VALUES (0, 0, 0.375), (0, 1, 0.375), (1, 0, 0.125), (1, 1, 0.125)) n(dy, dx, k)
+  LEFT JOIN img ON img.session_id = g.session_id AND img.y = g.y + n.dy + 1 AND img.x = g.x + n.dx) GROUP BY ALL""")
+def remap_bilinear_whole(spark, d):
+    """``remap_bilinear`` over every pixel, to every place of a frame that holds them all."""
+    f = H.footprint(spark, d)
+    image = f.groupBy("session_id", F.floor(F.col("pixel") / WIDTH).cast("bigint").alias("y"), (F.col("pixel") % WIDTH).alias("x")).agg(F.max("weight").alias("v"))
+    ys = spark.range(H.frame_height(f, WIDTH)).toDF("y").crossJoin(spark.range(WIDTH).toDF("x"))
+    flow = image.select("session_id").distinct().crossJoin(F.broadcast(ys)).withColumns({"dy": F.lit(1.25), "dx": F.lit(0.5)})
+    return P.remap_bilinear(image, P.flow_to_remap(flow)).select("session_id", "y", "x", F.round("v", 6).alias("v"))
+
+
 _FOV = "fov AS (SELECT session_id, pixel, (v - (SELECT min(v) FROM p)) / ((SELECT max(v) FROM p) - (SELECT min(v) FROM p)) AS v FROM p), drawn AS (SELECT session_id, pixel, sum(weight / m) AS r FROM (SELECT *, max(weight) OVER (PARTITION BY roi_id) AS m FROM footprint) GROUP BY ALL)"
 
 
@@ -153,6 +169,14 @@ def warp_footprints(spark, d):
     return P.warp_footprints(H.footprint(spark, d), P.shift_remap(spark, shifts, 40, WIDTH), WIDTH).select("roi_id", "session_id", "pixel", F.round("weight", 9).alias("weight"))
 
 
+@register("warp_footprints_whole", _FP + "SELECT roi_id, session_id, pixel, round(w / sum(w) OVER (PARTITION BY roi_id), 9) AS weight FROM (SELECT roi_id, session_id, (pixel // 40 + 2) * 40 + pixel % 40 + 1 AS pixel, weight AS w FROM footprint WHERE pixel // 40 + 2 <= (SELECT max(pixel) // 40 FROM footprint) AND pixel % 40 + 1 < 40)")
+def warp_footprints_whole(spark, d):
+    """``warp_footprints`` in a frame that holds every pixel."""
+    f = H.footprint(spark, d)
+    shifts = spark.range(8).select(F.col("id").cast("int").alias("session_id"), F.lit(2).alias("dy"), F.lit(1).alias("dx"))
+    return P.warp_footprints(f, P.shift_remap(spark, shifts, H.frame_height(f, WIDTH), WIDTH), WIDTH).select("roi_id", "session_id", "pixel", F.round("weight", 9).alias("weight"))
+
+
 @register("polygon_region", Q.with_(Q.ROI) + "SELECT roi_id FROM roi WHERE cy >= 100 AND cy < 300 AND cx >= 50 + (cy - 100) * 0.5 AND cx < 350 - (cy - 100) * 0.25")
 def polygon_region(spark, d):
     return H.roi(spark, d).where(P.in_polygon(F.col("cy").cast("double"), F.col("cx").cast("double"), [(100.0, 50.0), (100.0, 350.0), (300.0, 300.0), (300.0, 150.0)])).select("roi_id")

@@ -43,6 +43,12 @@ def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.join(session, "roi_id").select("roi_id", "session_id", "pixel", "weight")
 
 
+def frame_height(pixels: DataFrame, width: int) -> int:
+    """Rows of the least frame of ``width`` that holds every ``pixel``."""
+    last = pixels.agg(F.max("pixel")).first()[0]
+    return 0 if last is None else int(last) // width + 1
+
+
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``session_id, roi_idx, day, value``: summed event values of a user and day."""
     e = table(spark, sf_dir, "events")
