@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalar as S
+from tessera.operators.checkpoints import cut
 
 
 def default_bins(n_edges: int) -> tuple[int, int]:
@@ -62,6 +63,29 @@ def running_best(trials: DataFrame, order: str, value: str, patience: int) -> Da
     return best.withColumn("span", F.max("best").over(recent) - F.min("best").over(recent))
 
 
+def running_best_whole(trials: DataFrame, order: str, value: str, patience: int) -> DataFrame:
+    """``running_best`` of a log of any length: best and row number per range of ``order``, carried over the ranges.
+
+    The best never rises, so the largest of the last ``patience`` is the earliest of them.
+    What reaches the driver is one row per range.
+    """
+    kept = cut(trials.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy("_part").orderBy(order)
+    local = kept.withColumns({"_low": F.min(value).over(own.rowsBetween(Window.unboundedPreceding, 0)), "_at": F.row_number().over(own).cast("long")})
+    parts = kept.groupBy("_part").agg(F.count("*").alias("n"), F.min(value).alias("low"), F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("head")).orderBy("_part").collect()
+    first = next((r["head"] for r in parts if r["head"] is not None), None)
+    carried, before, low = [], 0, None
+    for r in parts:
+        carried.append((r["_part"], before, low))
+        before += r["n"]
+        low = min((x for x in (low, r["low"]) if x is not None), default=None)
+    kind = kept.schema[value].dataType.simpleString()
+    carry = trials.sparkSession.createDataFrame(carried, f"_part int, _before long, _carried {kind}")
+    best = local.join(F.broadcast(carry), "_part").withColumns({"best": F.least("_low", "_carried"), "_at": F.col("_at") + F.col("_before")}).drop("_part", "_low", "_before", "_carried")
+    old = best.select((F.col("_at") + (patience - 1)).alias("_at"), F.col("best").alias("_old"))
+    return best.join(old, "_at", "left").withColumn("span", F.coalesce("_old", F.lit(first).cast(kind)) - F.col("best")).drop("_at", "_old")
+
+
 def neighbour_difference(rows: DataFrame, partition: str, order: str, value: str) -> DataFrame:
     return rows.withColumn("diff", F.col(value) - F.lag(value).over(Window.partitionBy(partition).orderBy(order)))
 

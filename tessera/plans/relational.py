@@ -244,6 +244,13 @@ def running_best(spark, d):
     return C.running_best(trials, "o_orderkey", "o_totalprice", 20).select("o_orderkey", "best", "span")
 
 
+@register("running_best_whole", "SELECT o_orderkey, best, max(best) OVER r - min(best) OVER r AS span FROM (SELECT o_orderkey, min(o_totalprice) OVER (ORDER BY o_orderkey) AS best FROM orders) WINDOW r AS (ORDER BY o_orderkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+def running_best_whole(spark, d):
+    """``running_best`` over all orders."""
+    trials = H.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return C.running_best_whole(trials, "o_orderkey", "o_totalprice", 20).select("o_orderkey", "best", "span")
+
+
 @register("lag_diff", "SELECT o_custkey, o_orderkey, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS diff FROM orders")
 def lag_diff(spark, d):
     return C.neighbour_difference(H.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderkey", "o_totalprice").drop("o_totalprice")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from tessera.operators import calibrate as C
 from tessera.plans import registry
 
 
@@ -25,3 +26,21 @@ def test_pixels_of_the_whole_frame_are_registered_and_warped(spark, tmp_path):
     assert {r["pixel"] for r in moved} == {(y + 2) * 40 + x + 1 for y, x, _ in blob}
     drawn = registry.queries()["remap_bilinear_whole"](spark, d).where("v > 0").collect()
     assert max(r["y"] for r in drawn) == 76
+
+
+def test_running_best_is_carried_over_all_ranges(spark):
+    rng = random.Random(4)
+    rows = [(k, None if k < 25 or k % 7 == 0 else 1000.0 - k + rng.random() * 90) for k in range(400)]
+    table = spark.createDataFrame(rows, "k long, v double")
+    got = sorted(map(tuple, C.running_best_whole(table, "k", "v", 20).select("k", "best", "span").collect()))
+    best, want = [], []
+    for k, v in rows:
+        best.append(min((x for x in (v, best[-1] if best else None) if x is not None), default=None))
+        recent = [x for x in best[-20:] if x is not None]
+        want.append((k, best[-1], max(recent) - min(recent) if recent else None))
+    assert got == want
+    assert C.running_best_whole(table.limit(0), "k", "v", 20).count() == 0
+
+
+def test_running_best_whole_has_a_row_per_order(spark, sf_dir):
+    assert registry.queries()["running_best_whole"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
