@@ -112,7 +112,7 @@ class Matcher:
                     best = distance, left + end
             if best:
                 found.append((item_id, *best))
-        return sorted(found)
+        return sorted(found, key=lambda x: (_by_id(x), *x[1:]))
 
     @staticmethod
     def _whole(text: str, item: str, low: int, high: int) -> tuple[int, int]:
@@ -123,6 +123,11 @@ class Matcher:
         return 1, 0
 
 
+def _by_id(row: tuple) -> tuple[bool, int]:
+    """Order by the id in front, nulls first."""
+    return row[0] is not None, row[0] or 0
+
+
 def _spans(sorted_starts: list[int], k: int) -> Iterator[tuple[int, int]]:
     """Runs of guesses that lie within 2k + 1 of each other."""
     low = high = sorted_starts[0]
@@ -137,11 +142,11 @@ def _spans(sorted_starts: list[int], k: int) -> Iterator[tuple[int, int]]:
 def _matchers(items: DataFrame, item_id: str, item_text: str, percent: int) -> Iterator:
     """Broadcast lists of at most about BLOCK_ITEMS items."""
     spark = items.sparkSession
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
     blocks = -(-rows.count() // BLOCK_ITEMS)
     for block in range(blocks):
         mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield spark.sparkContext.broadcast((sorted(map(tuple, mine.collect())), percent))
+        yield spark.sparkContext.broadcast((sorted(map(tuple, mine.collect()), key=lambda x: (_by_id(x), x[1])), percent))
 
 
 _built: dict = {}
@@ -161,7 +166,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     ``match_end`` counts characters of the normalised document. Defined cases: null or
     empty texts and items match nothing; items of fewer than ``SHORT_ITEM`` characters
     must occur exactly and between white space; repeated documents and items give
-    repeated rows; null document ids are reported as null; empty tables give no rows;
+    repeated rows; null document and item ids are reported as null; empty tables give no rows;
     other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

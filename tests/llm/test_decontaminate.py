@@ -74,3 +74,11 @@ def test_short_items_stand_between_spaces(spark):
     docs = spark.createDataFrame([(1, "the cat sat"), (2, "concatenate")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "cat")], "item_id long, text string")
     assert [(r["doc_id"], r["distance"]) for r in D.contaminated(docs, bench).collect()] == [(1, 0)]
+
+
+def test_items_without_an_id_count(spark):
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "a dog ran"), (3, "the cat and a dog"), (4, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "cat"), (None, "dog"), (7, "cat"), (None, None)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in D.contaminated(docs, bench).collect()), key=str)
+    assert got == sorted([(1, None), (1, 7), (2, None), (3, None), (3, None), (3, 7)], key=str)
+    assert [r["doc_id"] for r in D.clean(docs, bench).collect()] == [4]
