@@ -3,7 +3,7 @@
 Every text (any historical version of any path) is a blob, named by the SHA-256 of
 its UTF-8 bytes. The ledger holds which (blob, rule version) pairs have been scanned
 and what was found. A call scans only blobs without a ledger row of the current rule
-version, one holder each, and joins all findings back to every path that holds the
+version, one holder each, appends what it found, and joins all findings back to every path that holds the
 blob; copies and unchanged versions cost a hash, not a scan.
 """
 
@@ -14,7 +14,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.store import Workspace, few
@@ -42,6 +43,8 @@ _WORDS = ("password", "passwd", "secret", "token", "api")
 
 FOUND = "blob string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, hits array<struct<kind:string,start:int,end:int>>"
 
+LEDGER = f"{FOUND}, rule_version int"
+
 
 def scan_text(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind's place in KINDS, end)`` of all findings, sorted; code points, end exclusive.
@@ -84,42 +87,64 @@ def _blob(text: str):
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
-def scan_versions(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """``(findings, ledger)``: a row per row of ``versions``, and the ledger with the new scans added.
+class Ledger:
+    """The scans done so far, as Parquet below ``path``: the columns of ``FOUND`` and ``rule_version``.
+
+    It is only ever appended to. If two calls scan a blob at the same time, it is listed
+    twice, with equal findings; readers take one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        """All rows as they are now; none if nothing has been scanned."""
+        try:
+            return self.spark.read.schema(LEDGER).parquet(self.path)
+        except AnalysisException as gone:
+            if gone.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], LEDGER)
+
+    def of(self, rule_version: int) -> DataFrame:
+        return self.rows().where(F.col("rule_version") == rule_version).drop("rule_version")
 
-    ``findings``: ``path`` (the values of ``path_col``), ``blob``, ``n_assign, n_access,
-    n_hex, base_sha256, spans, hits``. ``ledger`` has the columns of ``FOUND`` and
-    ``rule_version``; rows of other rule versions are kept and not used.
+    def append(self, scanned: DataFrame, rule_version: int) -> None:
+        scanned.withColumn("rule_version", F.lit(rule_version)).write.mode("append").parquet(self.path)
+
+
+def scan_versions(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
+    """``path, blob, n_assign, n_access, n_hex, base_sha256, spans, hits``, a row per row of ``versions``.
+
+    ``path`` has the values of ``path_col``. Only blobs that ``ledger`` does not list under
+    ``rule_version`` are scanned; their rows are appended to it while the query is built, and
+    the result is read from it. Without a ledger, one of this call alone is used.
 
     Defined cases: a null text is the empty text, with no finding; equal texts get equal
     findings, under whatever paths; repeated rows stay repeated; null paths are kept as
     one more path; an empty table gives empty results; other columns are ignored.
     """
     space = Workspace(versions.sparkSession, "secrets")
+    ledger = ledger or Ledger(versions.sparkSession, f"{space.root}/ledger")
     rows = versions.select(F.col(path_col).alias("path"), F.col(text_col).cast("string").alias("text"))
     held = space.put("held", rows.select("path", _blob("text").alias("blob")))
     unseen = held.groupBy("blob").agg(F.min("path").alias("holder"))
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    unseen = space.put("unseen", unseen)
-    texts = rows.join(unseen, F.col("path").eqNullSafe(F.col("holder")) & (_blob("text") == F.col("blob"))).select("blob", "text")
-    scanned = space.put("scanned", texts.mapInArrow(_scan, FOUND).dropDuplicates(["blob"]))
-    known = scanned.withColumn("rule_version", F.lit(rule_version))
-    if ledger is not None:
-        known = ledger.select(*known.columns).unionByName(known)
-    current = known.where(F.col("rule_version") == rule_version).drop("rule_version")
-    return held.join(current, "blob").select("path", *current.columns), known
-
-
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    unseen = space.put("unseen", unseen.join(ledger.of(rule_version).select("blob"), "blob", "left_anti"))
+    if not unseen.isEmpty():
+        texts = rows.join(unseen, F.col("path").eqNullSafe(F.col("holder")) & (_blob("text") == F.col("blob"))).select("blob", "text")
+        ledger.append(texts.mapInArrow(_scan, FOUND).dropDuplicates(["blob"]), rule_version)
+    return held.join(ledger.of(rule_version).dropDuplicates(["blob"]), "blob").select("path", *(part.strip().split(" ", 1)[0] for part in FOUND.split(", ")))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", ledger: Ledger | None = None) -> DataFrame:
     """``docs`` with every finding replaced by ``mark``; same rows and columns.
 
     Overlapping findings are replaced as one. Texts without findings, null
     texts among them, are untouched.
     """
-    found, _ = scan_versions(docs, id_col, text_col)
+    found = scan_versions(docs, id_col, text_col, ledger)
     some = Workspace(docs.sparkSession, "redact").put("some", found.where(F.size("hits") > 0).select(F.col("blob").alias("__blob"), F.col("hits").alias("__hits")).dropDuplicates(["__blob"]))
-    if few(some, BROADCAST_BLOBS):
+    if few(some, BROADCAST_BLOBS, F.size("__hits") * 32 + 128):
         some = F.broadcast(some)
     joined = docs.withColumn("__blob", _blob(text_col)).join(some, "__blob", "left")
     spans = F.array_sort(F.transform("__hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))

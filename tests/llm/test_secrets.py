@@ -28,7 +28,7 @@ def texts():
 
 def test_base_kinds_follow_the_rules(spark):
     rows = list(enumerate(texts()))
-    got = secrets.scan_versions(with_clashes(spark.createDataFrame(rows, "doc_id long, text string")))[0]
+    got = secrets.scan_versions(with_clashes(spark.createDataFrame(rows, "doc_id long, text string")))
     found = {r["path"]: r for r in got.collect()}
     assert len(found) == len(rows)
     for d, t in rows:
@@ -47,19 +47,38 @@ def test_added_kinds():
     assert not kinds("see https://example.com/a:b for more, or mail me@example.com")
 
 
-def test_ledger_scans_only_unseen_blobs(spark):
+def test_ledger_scans_only_unseen_blobs(spark, tmp_path, monkeypatch):
     schema = "doc_id string, text string"
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.rows().count() == 0
     old = spark.createDataFrame([("a@1", "token=abcdefg"), ("b@1", "clean"), ("c@1", "token=abcdefg")], schema)
-    first, ledger = secrets.scan_versions(old)
-    assert ledger.count() == 2 and first.where("n_assign = 1").count() == 2
-    planted = ledger.withColumn("spans", ledger["blob"])  # a scan of these blobs would lose the mark
+    first = secrets.scan_versions(old, ledger=ledger)
+    assert first.where("n_assign = 1").count() == 2 and ledger.rows().count() == 2
+    appended = []
+    append = secrets.Ledger.append
+    monkeypatch.setattr(secrets.Ledger, "append", lambda self, rows, version: (append(self, rows, version), appended.append(version))[0])
+    again = secrets.scan_versions(old, ledger=ledger)
+    assert sorted(map(tuple, again.select("path", "spans").collect())) == sorted(map(tuple, first.select("path", "spans").collect()))
+    assert not appended and ledger.rows().count() == 2  # the second run scanned nothing
     new = spark.createDataFrame([("a@2", "token=abcdefg"), ("b@2", "secret: zyxwvu"), ("b@1", "clean")], schema)
-    found, grown = secrets.scan_versions(new, ledger=planted)
-    rows = {r["path"]: r for r in found.collect()}
-    assert rows["a@2"]["spans"] == rows["a@2"]["blob"] and rows["b@1"]["spans"] == rows["b@1"]["blob"] and rows["b@2"]["spans"].startswith("assign:0:")
-    assert grown.count() == 3
-    again, later = secrets.scan_versions(new, ledger=grown, rule_version=secrets.RULE_VERSION + 1)
-    assert later.count() == 6 and {r["path"]: r for r in again.collect()}["a@2"]["spans"] == "assign:0:13"
+    found = secrets.scan_versions(new, ledger=ledger)
+    assert {r["path"]: r["spans"] for r in found.collect()} == {"a@2": "assign:0:13", "b@1": "", "b@2": "assign:0:14"}
+    assert ledger.rows().count() == 3 and appended == [secrets.RULE_VERSION]
+    secrets.scan_versions(new, ledger=ledger, rule_version=secrets.RULE_VERSION + 1)
+    assert ledger.rows().count() == 6 and ledger.of(secrets.RULE_VERSION + 1).count() == 3
+
+
+def test_the_query_keeps_its_ledger(spark, sf_dir, monkeypatch):
+    from tessera.llm import registry
+
+    query = registry.queries()["op10_secret_scans"]
+    first = query(spark, sf_dir)
+
+    def fail(*_):
+        raise AssertionError("a second run must scan nothing")
+
+    monkeypatch.setattr(secrets.Ledger, "append", fail)
+    assert query(spark, sf_dir).exceptAll(first).isEmpty() and first.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
 
 
 def test_redaction_and_odd_rows(spark):
