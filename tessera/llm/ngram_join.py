@@ -1,6 +1,6 @@
 """Grouped prefix join: Jaccard similarity of word shingles, and its components.
 
-Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their shingle
+Several jobs run when the query is built. Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their shingle
 sets. The steps:
 
 1. *Order.* A count sketch of fixed size holds how often shingles occur in the whole
@@ -12,11 +12,12 @@ sets. The steps:
    is streamed in order of prefix position: its first group is the hub, and each other
    group that passes the size and position filters makes a pair with the hub, so a run
    gives as many pairs as it has rows, never all pairs.
-5. *Verify.* Pairs expand to members; the texts of both are fetched and compared.
+5. *Verify.* Pairs expand to members; a hub's text meets those of its partners, a bounded
+   number of them in a task, and the sets are compared.
 6. *Rest.* With the components of step 5 known, only pairs of *different* components
    can still change the result. All of these that pass the filters are verified, by an
-   equi-join on the shingle between the rows that are apart from their hub and all rows,
-   and likewise by an equi-join on the group between its members, whose prefix shingles
+   equi-join on the shingle and the size's bucket between the rows that are apart from
+   their hub and all rows, and likewise by an equi-join on the group between its members, whose prefix shingles
    need not occur in any other group.
 
 No bucket, partner or candidate is capped, and all links that join components are
@@ -39,8 +40,12 @@ from tessera.llm.store import Workspace, few
 #: Counters of the sketch: 2**SKETCH_BITS, whatever the input's size.
 SKETCH_BITS = 21
 SKETCH_BLOCKS = 64
-#: Ids that may be broadcast to pick the texts to verify (8 bytes each); beyond it, a shuffle join.
+#: Pairs that may be broadcast to pick the texts to verify (24 bytes each); beyond it, a shuffle join.
+BROADCAST_PAIRS = 200_000
+#: Ids that may be broadcast to pick documents (8 bytes each).
 BROADCAST_IDS = 500_000
+#: Pairs of a hub that one task verifies; the hub's text travels once for as many.
+HUB_SHARE = 1000
 
 
 def _need(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -164,43 +169,49 @@ def _runs(percent: int):
 
 
 def _verifier(percent: int):
-    """(a, b, text_a, text_b) -> the linked (a, b). The last text_b's set is kept, as rows arrive by b."""
+    """Rows (a, b, text), sorted by (key, part, b, a nulls first) -> the linked (a, b).
 
-    def one(text: pa.Scalar) -> np.ndarray:
-        for _, data, offsets in S.text_chunks(pa.array([text.as_py()], pa.string())):
-            return next(S.sets(data, offsets))
-        return np.zeros(0, np.uint64)
+    A row without ``a`` is a hub: its text's set is kept until the next hub. The rows after
+    it are the texts to compare with it.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple = (None, None, None)
+        right = np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            ids = b.to_numpy(zero_copy_only=False)
-            linked = np.zeros(len(ids), bool)
+            hub = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            linked = np.zeros(len(hub), bool)
             for row, data, offsets in S.text_chunks(batch.column(2)):
                 for k, left in enumerate(S.sets(data, offsets), row):
-                    text = batch.column(3)[k]
-                    if seen[0] != ids[k] or seen[1] != text:
-                        seen = (ids[k], text, one(text))
-                    right = seen[2]
+                    if hub[k]:
+                        right = left
+                        continue
                     both = len(left) + len(right) - len(np.union1d(left, right))
                     linked[k] = both > 0 and 100 * both >= percent * (len(left) + len(right) - both)
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(linked))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked))
 
     return verify
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, percent: int, space: Workspace, tag: str) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts pass; ``texts(id, text)``."""
-    pairs = space.put(f"{tag}-pairs", pairs.distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if few(ids, BROADCAST_IDS):
-        ids = F.broadcast(ids)
-    some = texts.join(ids, "id", "left_semi")
-    left = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    found = both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(percent), "a long, b long")
-    return space.put(f"{tag}-links", found)
+def _linked(pairs: DataFrame, texts: DataFrame, percent: int, space: Workspace, tag: str, repeats: bool, few_pairs: int, hub_share: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose texts pass; ``texts(id, text)``, in which ids may repeat if ``repeats``.
+
+    The text of ``b`` travels once for each ``hub_share`` of its pairs, not once a pair, and
+    a hub of very many pairs is dealt to as many tasks. ``key`` tells the texts of a repeated id apart.
+    """
+    pairs = pairs.distinct()
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / hub_share).alias("parts"))
+    pairs = space.put(f"{tag}-pairs", pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")))
+    near = F.broadcast if few(pairs, few_pairs) else lambda rows: rows
+    texts = texts.withColumn("key", F.xxhash64("text") if repeats else F.lit(0).cast("long"))
+    hubs = texts.join(near(pairs.select(F.col("b").alias("id"), "part").distinct()), "id").select(F.lit(None).cast("long").alias("a"), F.col("id").alias("b"), "part", "key", "text")
+    if repeats:
+        hubs = space.put(f"{tag}-hubs", hubs.dropDuplicates(["b", "part", "key"]))
+        pairs = pairs.join(hubs.select("b", "part", "key"), ["b", "part"])
+    else:
+        pairs = pairs.withColumn("key", F.lit(0).cast("long"))
+    compared = texts.drop("key").join(near(pairs.withColumnRenamed("a", "id")), "id").select(F.col("id").alias("a"), "b", "part", "key", "text")
+    rows = hubs.unionByName(compared).repartition("b", "part", "key").sortWithinPartitions("b", "part", "key", F.asc_nulls_first("a"))
+    return space.put(f"{tag}-links", rows.select("a", "b", "text").mapInArrow(_verifier(percent), "a long, b long"))
 
 
 def _apart_in_groups(groups: DataFrame, shared: DataFrame, roots: DataFrame, space: Workspace) -> DataFrame:
@@ -213,7 +224,7 @@ def _apart_in_groups(groups: DataFrame, shared: DataFrame, roots: DataFrame, spa
     return apart.join(members, "gid").where("own_a <> own").select("id_a", "id")
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, few_pairs: int = BROADCAST_PAIRS, hub_share: int = HUB_SHARE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, class_id, component_id``.
 
     ``class_id`` is the least id with an equal shingle set, ``component_id`` the least
@@ -229,6 +240,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = spark.sparkContext.broadcast(shingle_sketch(texts.select("text")))
     signed = space.put("signed", texts.mapInArrow(_signer(sketch, percent), "id long, n long, h1 long, h2 long, g long, prefix array<long>"))
+    sketch.unpersist()
 
     heads = space.put("heads", signed.select("id", "n", "h1", "h2"))
     usable = signed.where("n > 0 AND id IS NOT NULL")
@@ -243,10 +255,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     runs = runs.select("token", "id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
     runs = space.put("runs", runs.mapInArrow(_runs(percent), "token long, id long, n long, pos long, hub long, near boolean"))
 
-    space.drop("signed")
-
     pairs = runs.where("near").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    links = _linked(pairs.unionByName(shared.select(F.col("member").alias("a"), F.col("gid").alias("b"))), texts, percent, space, "hub")
+    twice = heads.where("n > 0 AND id IS NOT NULL").groupBy("id").count().where("count > 1").select("id")
+    repeats = not twice.isEmpty()
+    verify = lambda rows, tag: _linked(rows, texts, percent, space, tag, repeats, few_pairs, hub_share)
+    space.drop("signed")
+    links = verify(pairs.unionByName(shared.select(F.col("member").alias("a"), F.col("gid").alias("b"))), "hub")
+    if repeats:  # the texts of one id are one node, whatever documents stand for their classes
+        own = heads.join(twice, "id", "left_semi").join(classes, ["n", "h1", "h2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        links = space.put("own-links", links.unionByName(own.where("a <> b")))
     roots = space.put("roots-1", components(links, space, "stars-1"))
 
     expanded = runs.unionByName(runs.join(shared, runs["id"] == shared["gid"]).select("token", F.col("member").alias("id"), "n", "pos", "hub", "near"))
@@ -255,14 +272,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = named.select("token", "id", "n", "pos", F.coalesce("own", "id").alias("own"), F.coalesce("hub_root", "hub").alias("hub_root"))
     named = space.put("named", named)
     space.drop("runs")
-    apart = named.where("own <> hub_root").select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "pos", "own")))
-    rest = apart.join(named, "token").where(
+    # sizes that can link differ by one bucket at most; the base is a little above 100 / percent, so that rounding cannot part them
+    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.2 / percent))).cast("int")
+    apart = named.where("own <> hub_root").select("token", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "pos", "own")))
+    rest = apart.join(named.withColumn("bucket", bucket), ["token", "bucket"]).where(
         (F.col("own_a") != F.col("own"))
         & (F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * percent)
         & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n") - F.col("pos")) * (100 + percent) >= (F.col("n_a") + F.col("n")) * percent)
     )
     rest = rest.select("id_a", "id").unionByName(_apart_in_groups(groups, shared, roots, space))
-    late = _linked(rest.select(F.greatest("id_a", "id").alias("a"), F.least("id_a", "id").alias("b")), texts, percent, space, "rest")
+    late = verify(rest.select(F.greatest("id_a", "id").alias("a"), F.least("id_a", "id").alias("b")), "rest")
     roots = space.put("roots-2", components(links.unionByName(late), space, "stars-2"))
 
     space.drop("named")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from tessera.llm.components import components
@@ -58,6 +60,34 @@ def test_members_of_one_group_that_miss_its_first_id(spark, other):
     assert {r["doc_id"]: r["component_id"] for r in got}[3] == 2
 
 
+def test_shuffled_pairs_split_hubs_and_repeated_ids(spark):
+    rows = [(d - d % 2 if 60 <= d < 100 else d, t) for d, t in documents(3)]
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), few_pairs=0, hub_share=3)
+    sizes = sorted((r["doc_id"], r["n_shingles"]) for r in got.collect())
+    want = brute(rows)
+    assert sizes == sorted((d, n) for d, n, _ in want)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: c for d, _, c in want}
+
+
+@pytest.mark.parametrize("one_task, chunk", [(10**6, 3), (0, 4), (0, 10**6)])
+def test_components_by_one_task_and_by_rounds(spark, one_task, chunk):
+    rng = random.Random(5)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(k, k + 1) for k in range(100, 140)] + [(7, 7), (200, 201), (200, 201)]
+    parent = {n: n for pair in links for n in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = components(spark.createDataFrame([*links, (None, 1)], "a long, b long").repartition(3), Workspace(spark, "test"), "t", one_task=one_task, chunk=chunk)
+    alone = {n for n in parent if all(a == b or n not in (a, b) for a, b in links)}
+    assert dict(map(tuple, got.collect())) == {n: find(n) for n in parent if n not in alone}
+
+
 def test_odd_rows(spark):
     empty = ngram_components(spark.createDataFrame([], "doc_id long, text string"))
     assert empty.count() == 0
