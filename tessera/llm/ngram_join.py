@@ -45,7 +45,7 @@ BROADCAST_PAIRS = 200_000
 #: Ids that may be broadcast to pick documents (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Pairs of a hub that one task verifies; the hub's text travels once for as many.
-HUB_SHARE = 1000
+HUB_SHARE = 250
 
 
 def _need(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
