@@ -1,10 +1,16 @@
-"""Run-length compressed Burrows-Wheeler index of many short texts (an r-index).
+"""Run-length compressed Burrows-Wheeler index of many short texts, with sampled run ends.
 
 The texts are joined with one separator behind each; separators are less than any byte
-and ordered by place, so all suffixes differ. What is kept: the runs of the transform
-(first row, symbol, where the run's first row maps to) and, as samples, the text places
-of each run's first and last row. Stepping a row back through the runs costs one binary
-search; many texts are stepped in lockstep, one symbol of each at a time.
+and ordered by place, so all suffixes differ. Kept are the runs of the transform and, as
+samples, the text places of each run's first and last row. (Rows before which a
+separator stands are runs of their own, as separators differ from each other.)
+
+Matching statistics come from the samples alone. If a suffix's row does not start a run,
+its lexicographic neighbour before it is one place behind the neighbour of the suffix one
+place before, and they agree on one symbol less. So the neighbour and the length of the
+match change only at sampled places: what holds at a place follows from the last run
+start at or before it. A run start's neighbour is the end of the run before, and their
+match is measured on the text.
 """
 
 from __future__ import annotations
@@ -26,17 +32,16 @@ def _first(new: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, rows, 0))
 
 
-def suffix_array(codes: np.ndarray, watch: int = 0) -> tuple[np.ndarray, np.ndarray | None, int]:
-    """``(suffix array, ranks by the first d codes, d)``; code 0 is a separator, ordered by place.
+def suffix_array(codes: np.ndarray) -> np.ndarray:
+    """Places of the suffixes in order; code 0 is a separator, ordered by place.
 
-    Prefix doubling that re-sorts only what is still tied. ``2 * d >= watch``, so ranks at
-    ``p`` and ``p + watch - d`` together tell whether ``watch`` codes agree.
+    Prefix doubling that re-sorts only what is still tied.
     """
     n = len(codes)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), 1
+        return np.zeros(0, np.int64)
     base = int(codes.max()) + 1
-    depth = max(1, min(int(62 / np.log2(max(base, 2))), watch or n))
+    depth = max(1, min(int(62 / np.log2(max(base, 2))), n))
     padded = np.concatenate([codes, np.zeros(depth, np.int64)])
     keys, ended = np.zeros(n, np.int64), np.zeros(n, bool)
     for k in range(depth):
@@ -45,32 +50,27 @@ def suffix_array(codes: np.ndarray, watch: int = 0) -> tuple[np.ndarray, np.ndar
         ended |= part == 0
     order, new = _ranks(keys)
     new[ended[order]] = True  # a separator within reach: the stable order by place is final
-    rows = np.arange(n)
     rank = np.empty(n, np.int64)
-    rank[order] = _first(new, rows)
-    seen, seen_depth = None, 0
+    rank[order] = _first(new, np.arange(n))
     while True:
-        if watch and seen is None and depth * 2 >= watch:
-            seen, seen_depth = rank.copy(), depth
         tied = np.flatnonzero(~(new & np.append(new[1:], True)))
-        if not len(tied) and (seen is not None or not watch):
-            return order, seen, seen_depth
-        if len(tied):
-            places = order[tied]
-            moved, fresh = _ranks(rank[places] * n + rank[places + depth])
-            order[tied] = places[moved]
-            new[tied] = fresh
-            rank[order[tied]] = _first(fresh, tied)
+        if not len(tied):
+            return order
+        places = order[tied]
+        moved, fresh = _ranks(rank[places] * n + rank[places + depth])
+        order[tied] = places[moved]
+        new[tied] = fresh
+        rank[order[tied]] = _first(fresh, tied)
         depth *= 2
 
 
 class RunIndex:
-    """Index of ``texts`` (byte arrays). ``watch``: the match length that ``blocks`` tells apart."""
+    """Index of the texts ``data[offsets[t] : offsets[t + 1]]`` (bytes). Text ``t`` starts at place ``first[t]``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, watch: int = 0):
-        self.count = count = len(offsets) - 1
-        self.lengths = np.diff(offsets)
-        self.rows = n = len(data) + count
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        count = len(offsets) - 1
+        self.first = offsets[:-1] + np.arange(count)
+        self.places = n = len(data) + count
         ends = offsets[1:] + np.arange(count)
         inside = np.ones(n, bool)
         inside[ends] = False
@@ -78,83 +78,48 @@ class RunIndex:
         used[data] = True
         codes = np.zeros(n, np.int64)
         codes[inside] = np.cumsum(used)[data]
-        order, seen, depth = suffix_array(codes, watch)
-        symbols = np.zeros(n, np.int64)
-        symbols[inside] = data.astype(np.int64) + 1
-        bwt = symbols[order - 1]  # before the first place stands, cyclically, the last separator
-        self.run_row = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1])[:n])
+        order = suffix_array(codes)
+        bwt = codes[order - 1]  # before the first place stands, cyclically, the last separator
+        start = np.append(True, bwt[1:] != bwt[:-1])[:n] | (bwt == 0)
+        self.run_row = np.flatnonzero(start)
         self.run_symbol = bwt[self.run_row]
-        sizes = np.diff(np.append(self.run_row, n))
-        self.head_place, self.tail_place = order[self.run_row], order[self.run_row + sizes - 1]
-        by_symbol = np.argsort(self.run_symbol, kind="stable")
-        self.run_to = np.empty(len(sizes), np.int64)
-        self.run_to[by_symbol] = np.cumsum(sizes[by_symbol]) - sizes[by_symbol]
-        if watch:
-            here, there = seen[order], seen[np.minimum(order + watch - depth, n - 1)]
-            same = (here[1:] == here[:-1]) & (there[1:] == there[:-1])
-            self.block_row = np.flatnonzero(np.append(True, ~same)[:n])
-
-    def step(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(symbol before each row's suffix, row of the suffix that starts there)``; symbol 0 is a separator."""
-        run = np.searchsorted(self.run_row, rows, "right") - 1
-        return self.run_symbol[run], self.run_to[run] + rows - self.run_row[run]
-
-    def stream(self):
-        """Steps all texts back from their ends: yields ``(text numbers, places in the text, rows)``.
-
-        The rows are those of the suffixes that start at the places.
+        self.head_place = order[self.run_row]
+        self.tail_place = order[np.append(self.run_row[1:], n) - 1] if n else order
+        #: Bytes from each place to its text's end.
+        self.left = np.repeat(ends, np.diff(offsets) + 1) - np.arange(n)
+        joined = np.zeros(n, np.uint8)
+        joined[inside] = data
+        before = np.append(-1, self.tail_place[:-1])[: len(self.run_row)]
+        length = np.zeros(len(before), np.int64)
+        length[1:] = _agree(joined, self.left, self.head_place[1:], before[1:])
+        by_place = np.argsort(self.head_place)
+        self.sample_place, self.sample_from, self.sample_length = self.head_place[by_place], before[by_place], length[by_place]
+
+    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """``(length, source)`` for every place: the longest match of the suffix there with one of lesser order, and where that stands.
+
+        A suffix's best match among all others is this one or that of the suffix whose source it is.
         """
-        rows = np.arange(self.count)  # separators sort first, in their order
-        texts = np.arange(self.count)
-        for back in range(1, int(self.lengths.max(initial=0)) + 1):
-            alive = self.lengths[texts] >= back
-            texts, rows = texts[alive], rows[alive]
-            _, rows = self.step(rows)
-            yield texts, self.lengths[texts] - back, rows
-
-    def blocks(self, rows: np.ndarray) -> np.ndarray:
-        """Number of the block of suffixes that agree with the row's on the watched length."""
-        return np.searchsorted(self.block_row, rows, "right") - 1
-
-    def matching_statistics(self, query: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each place of ``query``: length of the longest match in the texts, and a place in ``data`` where it is.
-
-        Backward search keeps one row; where the symbol differs, it jumps to the nearest run
-        of the symbol on either side, whose end is sampled, whichever agrees longer.
-        ``data, offsets`` are the texts the index was built from.
-        """
-        lengths, places = np.zeros(len(query), np.int64), np.full(len(query), -1)
-        joined = np.full(self.rows, -1, np.int64)
-        keep = np.ones(self.rows, bool)
-        keep[offsets[1:] + np.arange(self.count)] = False
-        joined[keep] = data
-        owner = np.cumsum(~keep) - ~keep
-
-        def agree(place: int, at: int, most: int) -> int:
-            k = 0
-            while k < most and place + k < self.rows and at + k < len(query) and joined[place + k] == query[at + k]:
-                k += 1
-            return k
-
-        row, place, length = 0, int(self.head_place[0]), 0
-        for at in range(len(query) - 1, -1, -1):
-            symbol = int(query[at]) + 1
-            run = int(np.searchsorted(self.run_row, row, "right")) - 1
-            if self.run_symbol[run] != symbol:
-                same = np.flatnonzero(self.run_symbol == symbol)
-                if not len(same):
-                    row, place, length = 0, int(self.head_place[0]), 0
-                    continue
-                k = int(np.searchsorted(same, run))
-                options = []
-                if k < len(same):
-                    options.append((agree(int(self.head_place[same[k]]), at + 1, length), int(self.run_row[same[k]]), int(self.head_place[same[k]])))
-                if k:
-                    end = int(self.run_row[same[k - 1] + 1] - 1) if same[k - 1] + 1 < len(self.run_row) else self.rows - 1
-                    options.append((agree(int(self.tail_place[same[k - 1]]), at + 1, length), end, int(self.tail_place[same[k - 1]])))
-                length, row, place = max(options)
-                run = int(np.searchsorted(self.run_row, row, "right")) - 1
-            row = int(self.run_to[run] + row - self.run_row[run])
-            place, length = place - 1, length + 1
-            lengths[at], places[at] = length, place - owner[place]
-        return lengths, places
+        is_sample = np.zeros(self.places, np.int64)
+        is_sample[self.sample_place] = 1
+        sample = np.cumsum(is_sample) - 1
+        past = np.arange(self.places) - self.sample_place[sample]
+        return np.maximum(self.sample_length[sample] - past, 0), self.sample_from[sample] + past
+
+
+def _agree(joined: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes agree from places ``a`` and ``b`` on, within both texts; eight at a time."""
+    padded = np.concatenate([joined, np.zeros(8, np.uint8)])
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
+    most = np.minimum(left[a], left[b])
+    length = most.copy()
+    alive, k = np.flatnonzero(most > 0), 0
+    while len(alive):
+        differ = words[a[alive] + k] ^ words[b[alive] + k]
+        apart = differ != 0
+        lowest = differ[apart] & (~differ[apart] + np.uint64(1))
+        length[alive[apart]] = np.minimum(most[alive[apart]], k + np.log2(lowest.astype(float)).astype(np.int64) // 8)
+        k += 8
+        alive = alive[~apart]
+        alive = alive[most[alive] > k]
+    return length

@@ -12,16 +12,18 @@ would not be distributed, so equal windows are first brought together:
    An anchor whose context stood before repeats in whole; no bytes are needed. An anchor
    that is alone, or whose contexts are all equal, is done.
 4. *Index.* The contexts that share an anchor but differ go to one task, which builds a
-   run-length Burrows-Wheeler index (``RunIndex``) of some thousand contexts, steps all of
-   them back through it and reads off, for each window, the block of suffixes that agree
-   with it on ``window`` bytes. Every window that is not its block's earliest is marked.
+   run-length Burrows-Wheeler index with sampled run ends (``RunIndex``) of some thousand
+   contexts and streams the matching statistics of all of them. Places whose match is
+   ``window`` bytes long or more are chained to their sources; every window that is not
+   the earliest of its chain is marked.
 5. Marks are merged per document.
 
 An anchor with more than ``HOT`` different contexts is split: its windows are dealt by
 where the anchor stands in them into ``SPLIT`` families, each under the digest of all
 bytes its windows share, so that only contexts which agree on most of a window meet.
-A family with more than ``DIRECT`` contexts is matched window by window against the
-digests seen so far, as an index of it would not fit.
+An anchor with more than ``DIRECT`` contexts is dealt to several indexes a family; each
+marks within its own contexts, and sends on the digests of the windows that are earliest
+in it, of which all but the earliest of all indexes are marked too.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ WINDOW = 100
 GRAM = 40
 HOT = 2000
 SPLIT = 4
+#: Contexts of one anchor that one index holds at most.
 DIRECT = 8000
 #: Contexts that one index holds, if no anchor has more.
 BLOCK = 2500
@@ -103,7 +106,8 @@ def _sifter(most: int):
         """Rows (anchor, context, doc, place, again), sorted -> (kind, anchor, doc, place).
 
         Kind 0: the context stood before. Kind 1: the first of one of several contexts of the
-        anchor. Kind 2 (no doc): the anchor has more than ``most`` contexts. Memory is one batch.
+        anchor. Kind 2 (no doc; ``place`` is their number): the anchor has more than ``most``
+        contexts. Memory is one batch.
         """
         before = None  # the last row's anchor and context
         head, alone, contexts = None, False, 0  # the current anchor's first row, whether it is yet to be sent, contexts so far
@@ -131,7 +135,7 @@ def _sifter(most: int):
                 continue
             carried = head is not None and head[0] == anchor[0]
             if head is not None and not carried and contexts > most:
-                yield rows(2, np.array([head[0]]), np.zeros(1, np.int64), [0])
+                yield rows(2, np.array([head[0]]), np.zeros(1, np.int64), [contexts])
             if carried:
                 anchor, doc, place = (np.append(h, x) for h, x in zip(head, (anchor, doc, place), strict=True))
             start = np.append(True, anchor[1:] != anchor[:-1])
@@ -146,7 +150,7 @@ def _sifter(most: int):
                 total[0] += contexts - 1
             hot = firsts[:-1][total[:-1] > most]
             if len(hot):
-                yield rows(2, anchor[hot], np.zeros(len(hot), np.int64), np.zeros(len(hot)))
+                yield rows(2, anchor[hot], np.zeros(len(hot), np.int64), total[:-1][total[:-1] > most])
             if keep.any():
                 yield rows(1, anchor[keep], doc[keep], place[keep])
             last = firsts[-1]
@@ -155,13 +159,13 @@ def _sifter(most: int):
             contexts = int(total[-1])
             head = (anchor[last], doc[last], place[last])
         if head is not None and contexts > most:
-            yield rows(2, np.array([head[0]]), np.zeros(1, np.int64), [0])
+            yield rows(2, np.array([head[0]]), np.zeros(1, np.int64), [contexts])
 
     return sift
 
 
-def _cut(window: int, gram: int):
-    """(doc, text, anchors) -> (key, doc, start, bytes): the contexts to index; hot anchors in families."""
+def _cut(window: int, gram: int, direct: int):
+    """(doc, text, anchors) -> (key, split, doc, start, bytes): the contexts to index; hot anchors in families, very hot ones dealt (``split``)."""
     reach = window - gram
     edges = [reach * k // SPLIT for k in range(SPLIT)] + [reach + 1]
 
@@ -170,50 +174,37 @@ def _cut(window: int, gram: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for k, (text, found) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
                 whole = (text.as_py() or "").encode()
-                keys, starts, parts = [], [], []
+                keys, splits, starts, parts = [], [], [], []
                 for a in found.as_py():
                     p = a["place"]
-                    if not a["hot"]:
+                    if not a["contexts"]:
                         left = max(0, p - reach)
                         keys.append(a["anchor"])
+                        splits.append(False)
                         starts.append(left)
                         parts.append(whole[left : p + window])
                         continue
+                    indexes = -(-a["contexts"] // direct)
+                    place = int(mix(np.array([ids[k]], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(p))[0] % np.uint64(indexes))
                     for low, high in zip(edges[:-1], edges[1:], strict=True):
                         # windows with low .. high - 1 bytes before the anchor all hold these bytes
                         shared = whole[p - low : p + window - (high - 1)] if p >= low else b""
                         left, right = max(0, p - (high - 1)), min(len(whole), p + window - low)
                         if right - left >= window and len(shared) == window - (high - 1 - low):
-                            keys.append(int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=bytes([low])).digest(), "big", signed=True))
+                            keys.append(int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=place.to_bytes(8, "big"), salt=bytes([low])).digest(), "big", signed=True))
+                            splits.append(indexes > 1)
                             starts.append(left)
                             parts.append(whole[left:right])
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.full(len(keys), ids[k])), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], ["key", "doc", "start", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(splits, pa.bool_()), pa.array(np.full(len(keys), ids[k])), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], ["key", "split", "doc", "start", "bytes"])
 
     return run
 
 
-class _Seen:
-    """Digests of an anchor's windows so far, with each one's earliest place."""
-
-    def __init__(self, key: int):
-        self.key, self.digest, self.value = key, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def later(self, digest: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Whether a window stood at a smaller place, among these and all before."""
-        every, values = np.concatenate([self.digest, digest]), np.concatenate([self.value, value])
-        order = np.lexsort((values, every))
-        ordered = every[order]
-        new = np.append(True, ordered[1:] != ordered[:-1])
-        self.digest, self.value = ordered[new], values[order][new]
-        return value > self.value[np.searchsorted(self.digest, digest)]
-
-
-def _spans(marked: np.ndarray, docs: np.ndarray, starts: np.ndarray, window: int) -> pa.RecordBatch:
-    """Marked windows (contexts x places) as byte spans."""
-    padded = np.pad(marked, ((0, 0), (1, 1)))
-    first, last = np.nonzero(marked & ~padded[:, :-2]), np.nonzero(marked & ~padded[:, 2:])
-    return pa.RecordBatch.from_arrays([pa.array(docs[first[0]]), pa.array((starts[first[0]] + first[1]).astype(np.int32)), pa.array((starts[last[0]] + last[1] + window).astype(np.int32))], ["doc", "start", "end"])
+def _marks(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest: np.ndarray | None = None) -> pa.RecordBatch:
+    """Spans to remove, or (with ``digest``) windows that are earliest in their index."""
+    none = pa.nulls(len(docs), pa.int64())
+    return pa.RecordBatch.from_arrays([none if digest is None else pa.array(digest.view(np.int64)), pa.array(docs), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], ["digest", "doc", "start", "end"])
 
 
 def _columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -225,90 +216,105 @@ def _columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return rows["doc"].to_numpy(), rows["start"].to_numpy().astype(np.int64), data, offsets - offsets[0]
 
 
-def _by_index(rows: pa.Table, window: int) -> pa.RecordBatch:
-    """Spans of the windows in ``rows`` that stand earlier in ``rows`` too, through one index."""
+def earliest_of_chain(source: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Least value in each place's chain; ``source`` leads towards the chain's head, which leads to itself."""
+    head = source
+    while not np.array_equal(head, further := head[head]):
+        head = further
+    least = np.full(len(value), np.iinfo(np.int64).max)
+    np.minimum.at(least, head, value)
+    return least[head]
+
+
+def _by_index(rows: pa.Table, window: int, split: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows in ``rows`` that stand earlier in ``rows`` too, through one index; of ``split`` rows, also the windows that do not."""
     docs, starts, data, offsets = _columns(rows)
-    index = RunIndex(data, offsets, window)
+    index = RunIndex(data, offsets)
+    length, source = index.matching_statistics()
+    text = np.repeat(np.arange(len(docs)), np.diff(offsets) + 1)
+    place = starts[text] + np.arange(index.places) - index.first[text]
     rank = np.unique(docs, return_inverse=True)[1]
-    found = []
-    for text, place, row in index.stream():
-        whole = index.lengths[text] - window >= place
-        if whole.any():
-            found.append((text[whole], place[whole], index.blocks(row[whole])))
-    text, place, block = (np.concatenate(x) for x in zip(*found, strict=True))
-    value = (rank[text] << 32) + starts[text] + place
-    earliest = np.full(len(index.block_row), np.iinfo(np.int64).max)
-    np.minimum.at(earliest, block, value)
-    marked = np.zeros((len(docs), int(place.max()) + 1), bool)
-    marked[text, place] = value > earliest[block]
-    return _spans(marked, docs, starts, window)
-
-
-def _by_digest(rows: pa.Table, window: int, seen: _Seen) -> pa.RecordBatch:
-    """The same against all that ``seen`` has held, window by window."""
-    docs, starts, data, offsets = _columns(rows)
-    counts = np.maximum(np.diff(offsets) - window + 1, 0)
-    text = np.repeat(np.arange(len(docs)), counts)
-    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    left = offsets[text] + place
-    new = np.append(True, docs[1:] != docs[:-1])
-    # documents come in order, so numbering them from the last chunk on keeps their order
-    rank = np.cumsum(new) + (int(seen.value.max()) >> 32 if len(seen.value) else 0)
-    marked = np.zeros((len(docs), int(counts.max(initial=0)) or 1), bool)
-    marked[text, place] = seen.later(digests(*prefix_sums(data), left, left + window), (rank[text] << 32) + starts[text] + place)
-    return _spans(marked, docs, starts, window)
+    value = (rank[text] << 32) + place
+    earliest = earliest_of_chain(np.where(length >= window, source, np.arange(index.places)), value)
+    whole = index.left >= window
+    marked = whole & (value > earliest)
+    # runs of marked windows within a context; the separators between contexts are never marked
+    first, last = marked.copy(), marked.copy()
+    first[1:] &= ~marked[:-1]
+    last[:-1] &= ~marked[1:]
+    yield _marks(docs[text[first]], place[first], place[last] + window)
+    if split.any():
+        new = np.flatnonzero(whole & ~marked & split[text])
+        left = new - text[new]
+        yield _marks(docs[text[new]], place[new], place[new] + window, digests(*prefix_sums(data), left, left + window))
 
 
 def _matcher(window: int, direct: int, block: int):
-    """Rows (key, doc, start, bytes), sorted -> spans (doc, start, end) to remove."""
+    """Rows (key, split, doc, start, bytes), sorted -> (digest, doc, start, end): spans to remove, and earliest windows of split keys.
+
+    A key with more than ``direct`` rows is indexed in parts, as if it had been split.
+    Memory is one index.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, seen = None, None
+        rest, parted = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch])
             rows = pa.concat_tables([rest, rows]) if rest is not None else rows
             key = rows["key"].to_numpy()
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            last = start[-1]
-            if len(key) - last > direct or (seen is not None and seen.key == key[last]):
-                yield from whole(rows.slice(0, last), key[:last], seen)
-                if seen is None or seen.key != key[last]:
-                    seen = _Seen(key[last])
-                docs = rows["doc"].to_numpy()
-                cut = max(last, int(np.searchsorted(docs[last:], docs[-1])) + last)  # the last document may go on
-                if cut > last:
-                    yield _by_digest(rows.slice(last, cut - last), window, seen)
-                rest = rows.slice(cut)
-            else:
-                yield from whole(rows.slice(0, last), key[:last], seen)
-                seen, rest = None, rows.slice(last)
+            last = int(np.searchsorted(key, key[-1]))
+            yield from whole(rows.slice(0, last), parted)
+            rest = rows.slice(last)
+            if key[-1] != parted:
+                parted = None
+            while rest.num_rows > direct:
+                parted = key[-1]
+                yield from _by_index(rest.slice(0, direct), window, np.ones(direct, bool))
+                rest = rest.slice(direct)
         if rest is not None:
-            yield from whole(rest, rest["key"].to_numpy(), seen)
+            yield from whole(rest, parted)
 
-    def whole(rows: pa.Table, key: np.ndarray, seen: _Seen | None) -> Iterator[pa.RecordBatch]:
-        """All rows of these keys are here, but for those that ``seen`` has had."""
-        if not len(key):
+    def whole(rows: pa.Table, parted: int | None) -> Iterator[pa.RecordBatch]:
+        """All rows of these keys are here, but for those of ``parted`` that an index has had."""
+        if not rows.num_rows:
             return
+        key, split = rows["key"].to_numpy(), rows["split"].to_numpy()
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(start, len(key)))
-        if seen is not None and seen.key == key[0]:
-            yield _by_digest(rows.slice(0, sizes[0]), window, seen)
-            start, sizes = start[1:], sizes[1:]
         for k in np.flatnonzero(sizes > direct):
-            yield _by_digest(rows.slice(start[k], sizes[k]), window, _Seen(key[start[k]]))
-        fit = (sizes > 1) & (sizes <= direct)
+            for at in range(0, sizes[k], direct):
+                n = min(direct, sizes[k] - at)
+                yield from _by_index(rows.slice(start[k] + at, n), window, np.ones(n, bool))
+        split = split | (key == parted) if parted is not None else split
+        fit = (sizes <= direct) & ((sizes > 1) | split[start])
         start, sizes = start[fit], sizes[fit]
         group = (np.cumsum(sizes) - 1) // block
         for g in np.unique(group):
             mine = group == g
             at = np.repeat(start[mine], sizes[mine]) + np.arange(sizes[mine].sum()) - np.repeat(np.cumsum(sizes[mine]) - sizes[mine], sizes[mine])
-            yield _by_index(rows.take(pa.array(at)), window)
+            yield from _by_index(rows.take(pa.array(at)), window, split[at])
 
     return run
 
 
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (digest, doc, start, end), sorted -> the spans of all but the earliest place of each digest. Memory is one batch."""
+    seen, head = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        digest, doc, start, end = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        new = np.append(seen is None or digest[0] != seen, digest[1:] != digest[:-1])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        carried = head or (0, 0)
+        first_doc, first_start = np.where(at < 0, carried[0], doc[at]), np.where(at < 0, carried[1], start[at])
+        again = (doc != first_doc) | (start != first_start)
+        seen, head = digest[-1], (first_doc[-1], first_start[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(start[again]), pa.array(end[again])], ["doc", "start", "end"])
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, list of (start, end)) -> (doc, merged spans as 32-bit pairs)."""
     for batch in batches:
@@ -378,14 +384,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sorted_rows = found.repartition(F.col("key")).drop("key").sortWithinPartitions("anchor", "context", "doc", "place")
     sifted = space.put("sifted", sorted_rows.mapInArrow(_sifter(hot_contexts), "kind int, anchor long, doc long, place int"))
 
-    hot = sifted.where("kind = 2").select("anchor").distinct().withColumn("hot", F.lit(True))
+    hot = sifted.where("kind = 2").groupBy("anchor").agg(F.max("place").alias("contexts"))
     if few(hot, BROADCAST_DOCS):
         hot = F.broadcast(hot)
     wanted = sifted.where("kind = 1").join(hot, "anchor", "left")
-    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("anchors"))
-    cut = texts.join(wanted, "doc").select("doc", "text", "anchors").mapInArrow(_cut(window, gram), "key long, doc long, start int, bytes binary")
+    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", F.coalesce("contexts", F.lit(0)).alias("contexts"))).alias("anchors"))
+    cut = texts.join(wanted, "doc").select("doc", "text", "anchors").mapInArrow(_cut(window, gram, direct), "key long, split boolean, doc long, start int, bytes binary")
     together = cut.repartition(F.col("key")).sortWithinPartitions("key", "doc", "start")
-    marks = space.put("marks", together.mapInArrow(_matcher(window, direct, block), "doc long, start int, end int"))
+    marks = space.put("marks", together.mapInArrow(_matcher(window, direct, block), "digest long, doc long, start int, end int"))
+    dealt = marks.where("digest IS NOT NULL")
+    marks = marks.where("digest IS NULL").drop("digest")
+    if not dealt.isEmpty():
+        marks = marks.unionByName(dealt.repartition(F.col("digest")).sortWithinPartitions("digest", "doc", "start").mapInArrow(_later, "doc long, start int, end int"))
 
     again = sifted.where("kind = 0").select("doc", F.greatest(F.col("place") - (window - gram), F.lit(0)).alias("start"), (F.col("place") + window).alias("end"))
     copied = copies.select("doc", F.lit(0).alias("start"), F.lit(_FAR).alias("end"))
@@ -393,7 +403,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = space.put("spans", every.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(_merge, "doc long, spans binary"))
     space.drop("sifted")
     space.drop("marks")
-    if few(spans, BROADCAST_DOCS):
+    if few(spans, BROADCAST_DOCS, F.octet_length("spans") + 48):
         spans = F.broadcast(spans)
     whole = keyed.join(spans, "doc", "left").select("doc_id", "text", "spans")
     return whole.mapInArrow(_apply(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm.anchors import anchors
@@ -19,28 +20,53 @@ def packed(texts):
 
 
 @pytest.mark.parametrize("seed", range(12))
-def test_index_blocks_and_matching_statistics(seed):
+def test_matching_statistics_come_from_the_run_ends(seed):
     rng = random.Random(seed)
     texts = ["".join(rng.choice("ab" if seed % 2 else "abcdefg") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 12))]
     if seed % 3 == 0:
         texts = [texts[0] + t for t in texts] + texts
     data, offsets = packed(texts)
-    watch = rng.choice([3, 5, 8, 20])
-    index = RunIndex(data, offsets, watch)
-    blocks: dict[str, set] = {}
-    seen = 0
-    for text, place, row in index.stream():
-        for t, p, b in zip(text, place, index.blocks(row), strict=True):
-            seen += 1
-            window = texts[t][p : p + watch]
-            if len(window) == watch:
-                blocks.setdefault(window, set()).add(int(b))
-    assert seen == sum(map(len, texts)) and all(len(b) == 1 for b in blocks.values()) and len(set.union(*blocks.values(), set())) == len(blocks)
-    query = "".join(rng.choice("abcdefgh") for _ in range(25))
-    length, at = index.matching_statistics(np.frombuffer(query.encode(), np.uint8), data, offsets)
-    for i in range(len(query)):
-        best = max((k for k in range(len(query) - i + 1) if any(query[i : i + k] in t for t in texts)), default=0)
-        assert length[i] == best and (not best or data[at[i] : at[i] + best].tobytes().decode() == query[i : i + best])
+    index = RunIndex(data, offsets)
+    length, source = index.matching_statistics()
+    suffixes = [(texts[t][p:], t, p) for t in range(len(texts)) for p in range(len(texts[t]))]
+    ordered = sorted(((*map(ord, x), -1, t), t, p) for x, t, p in suffixes)  # a separator is less than any byte, and the earlier the less
+    place = lambda t, p: int(index.first[t]) + p
+    best = {}
+    for (_, t, p), (_, u, q) in zip(ordered[1:], ordered, strict=False):
+        a, b = texts[t][p:], texts[u][q:]
+        match = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        assert length[place(t, p)] == match and (not match or source[place(t, p)] == place(u, q))
+        best[place(t, p)] = match
+    assert len(index.sample_place) == len(index.run_row) <= index.places
+    # the longest match anywhere else is one of the two neighbours'
+    after = np.zeros(index.places, np.int64)
+    np.maximum.at(after, source[length > 0], length[length > 0])
+    for x, t, p in suffixes[:: max(1, len(suffixes) // 20)]:
+        longest = max((k for k in range(len(x) + 1) if sum(texts[u].startswith(x[:k], q) for u in range(len(texts)) for q in range(len(texts[u]) - k + 1)) > 1), default=0)
+        assert max(length[place(t, p)], after[place(t, p)]) == longest
+
+
+def test_repetitive_texts_have_few_runs():
+    rng = random.Random(1)
+    base = "".join(rng.choice("acgt") for _ in range(150))
+    data, offsets = packed([base[:k] + "x" + base[k:] for k in range(100)])
+    index = RunIndex(data, offsets)
+    assert len(index.run_row) < 0.1 * index.places
+
+
+def test_the_operator_marks_by_the_statistics(spark, monkeypatch):
+    """Without the sampled run ends' matches, nothing that only an index can find is marked."""
+    from tessera.llm import suffix_dedup
+
+    rng = random.Random(2)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    rows = [(k, "".join(rng.choice("abcdefgh ") for _ in range(89)) + str(k) + shared + str(k) + "".join(rng.choice("abcdefgh ") for _ in range(90))) for k in range(6)]
+    data, offsets = packed([t for _, t in rows])
+    table = pa.table({"key": [1] * 6, "split": [False] * 6, "doc": list(range(6)), "start": pa.array([0] * 6, pa.int32()), "bytes": pa.array([t.encode() for _, t in rows], pa.binary())})
+    found = pa.Table.from_batches(suffix_dedup._by_index(table, 100, np.zeros(6, bool)))
+    assert found["doc"].to_pylist() == [1, 2, 3, 4, 5] and set(found["start"].to_pylist()) == {90} and set(found["end"].to_pylist()) == {210}
+    monkeypatch.setattr(RunIndex, "matching_statistics", lambda self: (np.zeros(self.places, np.int64), np.arange(self.places)))
+    assert pa.Table.from_batches(suffix_dedup._by_index(table, 100, np.zeros(6, bool))).num_rows == 0
 
 
 def test_equal_windows_have_equal_anchors():
@@ -82,7 +108,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"hot_contexts": 2, "direct": 4, "block": 10}, {"hot_contexts": 10**6, "direct": 4, "block": 7}])
+@pytest.mark.parametrize("sizes", [{}, {"hot_contexts": 2, "direct": 4, "block": 10}, {"hot_contexts": 10**6, "direct": 4, "block": 7}, {"hot_contexts": 2, "direct": 1, "block": 1}])
 def test_removal_equals_brute_force(spark, sizes):
     rows = corpus(3)
     got = repeated_spans(with_clashes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), **sizes)
