@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+# quotes count behind an equals sign only; one that never closes is a character like others. Nothing backtracks.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))")
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
-#: Element names of the HTML standard by their role.
-RAW = frozenset("script style template noscript iframe svg math object canvas audio video title".split())
+#: Element names of the HTML standard by their role. What stands in raw ones is
+#: code, a graphic, another page, the page's title or a notice to those without scripts;
+#: formulas and the text inside ``object``, ``audio`` and ``video`` count as text.
+RAW = frozenset("script style template noscript iframe svg canvas title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd nav header footer aside form fieldset legend label button select option textarea table caption thead tbody tfoot tr td th figure figcaption blockquote pre address details summary hr dialog menu".split()
@@ -43,8 +47,14 @@ def _tokens(found: dict[str, str]) -> tuple[str, ...]:
 
 
 def parse(source: str) -> Node:
-    """The tree of a page; ``text`` of its ``#text`` leaves is decoded, with single spaces, and not empty."""
-    root = top = Node("#root", None)
+    """The tree of a page; ``text`` of its ``#text`` leaves is decoded, with single spaces, and not empty.
+
+    Time grows with the page's length, whatever its depth: ``places`` knows where in the
+    stack of open elements those of each tag stand.
+    """
+    root = Node("#root", None)
+    open_ = [root]
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
     links: list[str] = []
     in_link = inline = 0
@@ -53,7 +63,7 @@ def parse(source: str) -> Node:
         nonlocal inline
         text = " ".join("".join(parts).split())
         if text:
-            leaf = Node("#text", top)
+            leaf = Node("#text", open_[-1])
             leaf.text, leaf.chars, leaf.inline = text, len(text), inline
             leaf.link_chars = min(leaf.chars, len("".join(links)))
         parts.clear()
@@ -66,6 +76,13 @@ def parse(source: str) -> Node:
         if in_link:
             links.append(text)
 
+    def close(place: int) -> None:
+        while len(open_) > place:
+            places[open_.pop().tag].pop()
+
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     at, size = 0, len(source)
     while at < size:
         m = _TOKEN.search(source, at)
@@ -94,31 +111,22 @@ def parse(source: str) -> Node:
         flush()
         in_link = 0
         if closing:
-            node = top
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                top = node.parent
+            if places.get(tag):
+                close(places[tag][-1])
             continue
-        if tag in _CLOSES_P:
-            node = top
-            while node is not None and node.tag not in ("p", "td", "th", "table", "button"):
-                node = node.parent
-            if node is not None and node.tag == "p":
-                top = node.parent
+        if tag in _CLOSES_P and places.get("p") and places["p"][-1] > innermost(("td", "th", "table", "button")):
+            close(places["p"][-1])
         if tag in _SIBLINGS:
             ends, holders = _SIBLINGS[tag]
-            node, last = top, None
-            while node is not None and node.tag not in holders:
-                if node.tag in ends:
-                    last = node
-                node = node.parent
-            if last is not None:
-                top = last.parent
+            holder = innermost(holders)
+            outermost = [known[k] for known in (places.get(t, []) for t in ends) if (k := bisect.bisect_right(known, holder)) < len(known)]
+            if outermost:
+                close(min(outermost))
         found = attributes(m[2]) if "=" in m[2] else {}
-        node = Node(tag, top, _tokens(found) if found else (), found.get("data-k"))
-        if tag not in VOID:
-            top = node  # a slash does not close a block element in HTML
+        node = Node(tag, open_[-1], _tokens(found) if found else (), found.get("data-k"))
+        if tag not in VOID:  # a slash does not close a block element in HTML
+            places.setdefault(tag, []).append(len(open_))
+            open_.append(node)
     flush()
     return root
 
