@@ -258,7 +258,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     if not asking:
         return spark.createDataFrame([], "query_row long, query_id long, rank int, vec_id long, score long")
     ordered = sized.repartitionByRange(-(-total // range_rows), F.desc("length"), "id").withColumns({"range": F.spark_partition_id(), "key": F.monotonically_increasing_id()})
-    rows = space.put("rows", ordered)
+    rows = _numbered(space.put("rows", ordered), "range", -(-total // range_rows))
     space.drop("sized")
 
     sums = rows.select("v").mapInArrow(_gram, "width int, gram array<double>").select("width", F.posexplode("gram").alias("at", "x")).groupBy("width", "at").agg(F.sum("x").alias("x"))
@@ -270,7 +270,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
 
     asked = space.put("asked", rows.where("q").select("key", "v").mapInArrow(_seeded(shared, k), "key long, v array<double>, floor long, least double"))
     blocks = asked.repartitionByRange(-(-asking // query_block), F.desc("least"), "key").withColumn("block", F.spark_partition_id())
-    blocks = space.put("blocks", blocks)
+    blocks = _numbered(space.put("blocks", blocks), "block", -(-asking // query_block))
     # ranges come by descending length, so a block meets the first so many of them
     ends = rows.groupBy("range").agg(F.max("length").alias("longest"))
     reach = blocks.groupBy("block").agg(F.min("least").alias("least"))
@@ -285,6 +285,12 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     return best.join(names, "key").select(F.col("key").alias("query_row"), "query_id", "rank", "vec_id", "score")
 
 
+def _numbered(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """``column`` from 0 to ``most`` - 1 at most, in the same order, if Spark has made more partitions than asked for."""
+    parts = rows.agg(F.max(column)).first()[0] + 1
+    return rows.withColumn(column, F.floor(F.col(column) * most / parts).cast("int")) if parts > most else rows
+
+
 def _meeting(ends: DataFrame, reach: DataFrame) -> DataFrame:
     """``block, range``: each block with the ranges, 0 to the last, that hold a row as long as it asks for.
 
