@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from tessera.operators.order import numbered
 
 TINY = 1e-12
 
@@ -140,12 +141,11 @@ def reshape(i: Column, j: Column, old_width: int, new_width: int) -> tuple[Colum
 def squeeze_integers(rows: DataFrame, column: str, out: str = "squeezed") -> DataFrame:
     """Dense relabelling from the minimum on, order kept: ``[7,2,7,4,-1,0] -> [3,1,3,2,-1,0]``.
 
-    The distinct values are ranked on their own, then joined back, so only they pass
-    through the one ordered window. Nulls stay null.
+    The distinct values are numbered on their own, by ranges, then joined back. Nulls stay null.
     """
-    seen = rows.select(column).where(F.col(column).isNotNull()).distinct()
-    ranked = seen.select(F.col(column), (F.row_number().over(Window.orderBy(column)) - 1 + F.min(column).over(Window.partitionBy())).cast("bigint").alias(out))
-    return rows.join(ranked, column, "left")
+    ranked = numbered(rows.select(column).where(F.col(column).isNotNull()).distinct(), column, out=out)
+    least = rows.agg(F.min(column)).first()[0]
+    return rows.join(ranked.withColumn(out, F.col(out) + F.lit(least or 0)), column, "left")
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:

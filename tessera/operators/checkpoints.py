@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """Use the cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set and the master is local."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
     given = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not given and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(given or f"file://{tempfile.mkdtemp(prefix='tessera-checkpoint-')}")
 
 

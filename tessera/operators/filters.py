@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.order import numbered, placed_in_strata, running_total
+
+
+#: Values of ``hash_order``, and the ranges that a stratum is split into.
+HASHES = 1_000_003
+CELLS = 1000
+
 
 def sparse_mask(x: DataFrame, *masks: DataFrame) -> DataFrame:
     """Entries of ``x(i, j, ...)`` whose place is in every mask; stored zeros of ``x`` stay."""
@@ -74,7 +81,7 @@ def sparse_diff(a: DataFrame, b: DataFrame, rtol: float = 1e-5, atol: float = 1e
     return both.select("i", "j", x.alias("a"), y.alias("b")).where(F.abs(F.col("a") - F.col("b")) > F.lit(atol) + F.abs(F.col("b")) * rtol)
 
 
-def hash_order(*columns: str, modulus: int = 1_000_003) -> Column:
+def hash_order(*columns: str, modulus: int = HASHES) -> Column:
     """A fixed scrambling that other engines can compute too."""
     total = F.lit(0).cast("bigint")
     for k, c in enumerate(columns):
@@ -83,18 +90,20 @@ def hash_order(*columns: str, modulus: int = 1_000_003) -> Column:
 
 
 def stratified_sample(rows: DataFrame, strata: str, n: int, keys: tuple[str, ...] = ("i", "j"), least: int = 100) -> DataFrame:
-    """About ``n`` rows, each stratum in proportion and at least ``least``: the first by a hash of the keys."""
+    """About ``n`` rows, each stratum in proportion and at least ``least``: the first by a hash of the keys.
+
+    Rows are ranked within ranges of the hash, so a stratum that holds most rows is split.
+    """
     counts = rows.groupBy(strata).agg(F.count("*").alias("__n"))
     share = counts.crossJoin(F.broadcast(counts.agg(F.sum("__n").alias("__all")))).select(strata, F.greatest(F.floor(F.col("__n") * n / F.col("__all")), F.lit(least)).alias("__take"))
-    place = F.row_number().over(Window.partitionBy(strata).orderBy(hash_order(*keys), *keys))
-    return rows.withColumn("__place", place).join(F.broadcast(share), strata).where("__place <= __take").drop("__place", "__take")
+    placed = placed_in_strata(rows, strata, hash_order(*keys), keys, CELLS, HASHES // CELLS + 1)
+    return placed.join(share, strata).where("__place <= __take").select(*rows.columns)
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, test_size: float = 0.3) -> DataFrame:
-    """``is_test``: the first rows of each class by a hash, ``test_size`` of them."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(hash_order(key), key))
-    return rows.withColumn("is_test", place <= F.round(F.count("*").over(w) * test_size))
+    """``is_test``: the first rows of each class by a hash, ``test_size`` of them. A large class is split as above."""
+    placed = placed_in_strata(rows, label, hash_order(key), (key,), CELLS, HASHES // CELLS + 1)
+    return placed.select(*rows.columns, (F.col("__place") <= F.round(F.col("__size") * test_size)).alias("is_test"))
 
 
 def some_per_label(rows: DataFrame, label: str, key: str, k: int) -> DataFrame:
@@ -102,9 +111,20 @@ def some_per_label(rows: DataFrame, label: str, key: str, k: int) -> DataFrame:
 
 
 def quantile_ladder(rows: DataFrame, column: str, steps: int) -> DataFrame:
-    """``step, value``: values at ``steps`` even ranks, by an exact percentile (no ordering of the whole table in one task)."""
-    at = [k / (steps - 1) for k in range(steps)]
-    return rows.agg(F.percentile(column, F.array(*(F.lit(x) for x in at))).alias("v")).select(F.posexplode("v").alias("step", "value"))
+    """``step, value``: values at ``steps`` even ranks, in between by linear interpolation; nulls do not count.
+
+    Distinct values are numbered by ranges, with the count of each; each takes the ranks it
+    holds, two for a step.
+    """
+    counts = numbered(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n")), "v", out="k")
+    ends = running_total(counts, "k", "n", "end")
+    total = rows.agg(F.count(column)).first()[0]
+    ranks = [k / max(steps - 1, 1) * (total - 1) for k in range(steps)] if total else []
+    wanted = rows.sparkSession.createDataFrame([(k, int(r), min(int(r) + 1, total - 1), r - int(r)) for k, r in enumerate(ranks)], "step int, low long, high long, part double")
+    needed = F.array(*(F.lit(r).cast("long") for r in sorted({x for r in ranks for x in (int(r), min(int(r) + 1, total - 1))})))
+    picked = ends.select("v", F.explode(F.filter(needed, lambda r: (r < F.col("end")) & (r >= F.col("end") - F.col("n")))).alias("rank")).select("rank", "v")
+    low, high = picked.toDF("low", "a"), picked.toDF("high", "b")
+    return wanted.join(low, "low").join(high, "high").select("step", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
 
 
 def batches(rows: DataFrame, order: str, size: int, least: int = 1) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.order import numbered
+
 
 def squeeze_ucids(labels: DataFrame, column: str = "ucid") -> DataFrame:
-    """Assigned ids become 0, 1, 2 ... in their order; -1 stays. Only the distinct ids pass the ordered window."""
-    seen = labels.select(column).where(F.col(column) >= 0).distinct()
-    dense = seen.select(F.col(column), (F.row_number().over(Window.orderBy(column)) - 1).cast("bigint").alias("__new"))
+    """Assigned ids become 0, 1, 2 ... in their order; -1 stays. The distinct ids are numbered by ranges."""
+    dense = numbered(labels.select(column).where(F.col(column) >= 0).distinct(), column, out="__new")
     return labels.join(dense, column, "left").withColumn(column, F.coalesce("__new", F.lit(-1).cast("bigint"))).select(*labels.columns)
 
 
@@ -83,8 +84,7 @@ def session_offsets(labels: DataFrame) -> DataFrame:
 
 def factorize(rows: DataFrame, column: str, out: str = "class_index") -> DataFrame:
     """Class labels as 0, 1, 2 ... in lexicographic order, over all sessions together."""
-    seen = rows.select(F.col(column).cast("string").alias("__c")).distinct()
-    ranked = seen.select("__c", (F.row_number().over(Window.orderBy("__c")) - 1).alias(out))
+    ranked = numbered(rows.select(F.col(column).cast("string").alias("__c")).distinct(), "__c", out=out, kind="int")
     return rows.withColumn("__c", F.col(column).cast("string")).join(ranked, "__c", "left").drop("__c")
 
 

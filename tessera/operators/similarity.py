@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from tessera.functions import scalar as S
+from tessera.operators.checkpoints import cut
 
-#: Vectors broadcast at once by the dense operators; more are taken block by block.
-VECTOR_BLOCK = 20_000
+#: Vectors of a block of the dense operators.
+VECTOR_BLOCK = 1000
 LEAST_SIMILARITY = 1e-5
 
 
@@ -74,73 +77,80 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _blocks(vectors: DataFrame, size: int) -> Iterator[DataFrame]:
-    """Parts of about ``size`` rows at most, by a hash of the id."""
-    n = vectors.count()
-    parts = -(-n // size) if n else 0
-    for k in range(parts):
-        yield vectors.where(F.pmod(F.xxhash64("roi_id"), F.lit(parts)) == k) if parts > 1 else vectors
+def _pairs_of_blocks(left: DataFrame, right: DataFrame, block: int, kernel, out: str) -> DataFrame:
+    """``kernel(left part, right part)`` on Arrow tables, for each pair of a block of ``left`` and a block of ``right`` (both keyed by ``roi_id``).
+
+    Blocks of about ``block`` rows, by a hash of the id, meet by a shuffle: nothing passes
+    the driver, a task holds two blocks, and the plan has the same size whatever the tables'.
+    """
+    parts = [max(1, -(-rows.count() // block)) for rows in (left, right)]
+    at = lambda n: F.pmod(F.xxhash64("roi_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    l = left.withColumns({"__a": at(parts[0]), "__b": F.lit(0)}).withColumn("__b", every(parts[1]))  # noqa: E741
+    # columns of their own, as both sides may be one table
+    r = right.select(*(F.col(c).alias(c) for c in right.columns)).withColumn("__b", at(parts[1])).withColumn("__a", every(parts[0]))
+    none = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in T.StructType.fromDDL(out).fields]).empty_table()
+    both = lambda x, y: kernel(x, y) if x.num_rows and y.num_rows else none
+    return l.groupBy("__a", "__b").cogroup(r.groupBy("__a", "__b")).applyInArrow(both, out)
 
 
 def dense_cosine(vectors: DataFrame, least: float = 0.0, block: int = VECTOR_BLOCK) -> DataFrame:
-    """``i, j, s`` for all directed pairs with cosine above ``least``, by matrix products.
+    """``i, j, s`` for all directed pairs with cosine above ``least``, by matrix products of blocks.
 
-    What is broadcast is one block of at most about ``block`` vectors, whatever the table's
-    size; each block is one pass over the vectors, in Arrow batches.
+    The work is quadratic by nature; where candidates are known, use ``masked_cosine``.
     """
-    spark = vectors.sparkSession
-    out = None
-    for part in _blocks(vectors, block):
-        got = part.select("roi_id", "vec").toArrow().combine_chunks()
-        right = spark.sparkContext.broadcast((got["roi_id"].to_numpy(), unit_rows(_matrix(got["vec"].combine_chunks()))))
-
-        def run(batches: Iterator[pa.RecordBatch], right=right) -> Iterator[pa.RecordBatch]:
-            ids, u = right.value
-            for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                left = unit_rows(_matrix(batch.column(1)))
-                for at in range(0, len(own), 256):
-                    s = left[at : at + 256] @ u.T
-                    r, c = np.nonzero((s > least) & (own[at : at + 256, None] != ids[None, :]))
-                    value = s[r, c]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[at + r]), pa.array(ids[c]), pa.array(np.where(value > 1 - 1e-5, 1.0, value))], ["i", "j", "s"])
-
-        edges = vectors.select("roi_id", "vec").mapInArrow(run, "i long, j long, s double")
-        out = edges if out is None else out.unionByName(edges)
-    return out if out is not None else spark.createDataFrame([], "i long, j long, s double")
-
-
-def knn_donut(roi: DataFrame, k_min: int, k_max: int, block: int = VECTOR_BLOCK) -> DataFrame:
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, ids = left["roi_id"].to_numpy(), right["roi_id"].to_numpy()
+        x, y = unit_rows(_matrix(left["vec"].combine_chunks())), unit_rows(_matrix(right["vec"].combine_chunks()))
+        found: list[tuple] = [(own[:0], ids[:0], np.zeros(0))]
+        for at in range(0, len(own), 256):
+            s = x[at : at + 256] @ y.T
+            r, c = np.nonzero((s > least) & (own[at : at + 256, None] != ids[None, :]))
+            value = s[r, c]
+            found.append((own[at + r], ids[c], np.where(value > 1 - 1e-5, 1.0, value)))
+        return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["i", "j", "s"])
+
+    v = vectors.select("roi_id", "vec")
+    return _pairs_of_blocks(v, v, block, run, "i long, j long, s double")
+
+
+def knn_donut(roi: DataFrame, k_min: int, k_max: int, per_cell: int | None = None) -> DataFrame:
     """``i, j, rank``: neighbours ranked ``k_min + 1 .. k_max`` by centroid distance, self counted as rank 1.
 
-    Ties go to the smaller id. Centroids are two numbers; a block of them is broadcast, each
-    task keeps its own rows' ``k_max`` best of the block, and the blocks' lists are merged by
-    one ranking per object.
+    Ties go to the smaller id. Points lie in square cells of about ``per_cell`` points. An
+    object looks through the cells within one, two, four ... of its own until its ``k_max``
+    nearest are nearer than any cell not looked through; who is done leaves the loop. Of
+    points at one place, only the ``k_max`` of least id can be anyone's neighbours, so a
+    crowded place costs no more.
     """
-    spark = roi.sparkSession
-    points = roi.select("roi_id", F.col("cy").cast("double").alias("cy"), F.col("cx").cast("double").alias("cx"))
-    out = None
-    for part in _blocks(points, block):
-        got = part.toArrow()
-        order = np.argsort(got["roi_id"].to_numpy(), kind="stable")
-        right = spark.sparkContext.broadcast(tuple(got[c].to_numpy()[order] for c in ("roi_id", "cy", "cx")))
-
-        def run(batches: Iterator[pa.RecordBatch], right=right) -> Iterator[pa.RecordBatch]:
-            ids, y, x = right.value
-            for batch in batches:
-                own, cy, cx = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-                for at in range(0, len(own), 256):
-                    d = (cy[at : at + 256, None] - y) ** 2 + (cx[at : at + 256, None] - x) ** 2
-                    keep = np.argsort(d, 1, kind="stable")[:, :k_max]
-                    rows = np.repeat(np.arange(len(d)), keep.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(own[at + rows]), pa.array(ids[keep.ravel()]), pa.array(d[rows, keep.ravel()])], ["i", "j", "d2"])
-
-        near = points.mapInArrow(run, "i long, j long, d2 double")
-        out = near if out is None else out.unionByName(near)
-    if out is None:
-        return spark.createDataFrame([], "i long, j long, rank int")
+    points = cut(roi.select("roi_id", F.col("cy").cast("double").alias("cy"), F.col("cx").cast("double").alias("cx")))
+    n, y0, y1, x0, x1 = points.agg(F.count("*"), F.min("cy"), F.max("cy"), F.min("cx"), F.max("cx")).first()
+    if not n:
+        return roi.sparkSession.createDataFrame([], "i long, j long, rank int")
+    side = max(math.sqrt(max((y1 - y0) * (x1 - x0), max(y1 - y0, x1 - x0)) * (per_cell or max(k_max // 4, 4)) / n), 1e-9) or 1.0
+    cell = lambda c, least: F.floor((F.col(c) - F.lit(least)) / F.lit(side))
+    crowd = F.row_number().over(Window.partitionBy("cy", "cx").orderBy("roi_id"))
+    near = points.withColumn("__k", crowd).where(F.col("__k") <= k_max)
+    near = cut(near.select(F.col("roi_id").alias("j"), F.col("cy").alias("y"), F.col("cx").alias("x"), cell("cy", y0).alias("gy"), cell("cx", x0).alias("gx")))
+    open_, found, reach = points.withColumnsRenamed({"roi_id": "i"}), None, 1
+    across = max(y1 - y0, x1 - x0) / side + 1
     place = F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))
-    return out.withColumn("rank", place).where((F.col("rank") > k_min) & (F.col("rank") <= k_max)).select("i", "j", "rank")
+    while True:
+        ring = F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))
+        looked = open_.withColumn("gy", F.explode(F.transform(ring, lambda r: cell("cy", y0) + r))).withColumn("gx", F.explode(F.transform(ring, lambda r: cell("cx", x0) + r)))
+        ranked = looked.join(near, ["gy", "gx"]).select("i", "cy", "cx", "j", (F.pow(F.col("cy") - F.col("y"), F.lit(2.0)) + F.pow(F.col("cx") - F.col("x"), F.lit(2.0))).alias("d2"))
+        ranked = cut(ranked.withColumn("rank", place).where(F.col("rank") <= k_max))
+        if reach >= across:
+            done = ranked
+        else:
+            sure = ranked.groupBy("i").agg(F.max("d2").alias("far"), F.count("*").alias("n")).where((F.col("n") >= k_max) & (F.col("far") < (reach * side) ** 2 * (1 - 1e-9))).select("i")
+            done = ranked.join(sure, "i", "left_semi")
+            open_ = cut(open_.join(sure, "i", "left_anti"))
+        found = done if found is None else found.unionByName(done)
+        if reach >= across or open_.isEmpty():
+            return found.where(F.col("rank") > k_min).select("i", "j", "rank")
+        reach *= 2
 
 
 def donut_stats(donut: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -213,30 +223,27 @@ def gather_dot(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 def _nearest_two(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
     """Per left row: nearest right row, the two least distances, mean and deviation of all.
 
-    Right rows are broadcast in blocks of bounded size; per block each left row gives its
-    moments and two best, which are merged by one aggregate.
+    Blocks of both tables meet; per pair of blocks each left row gives its moments and two
+    best, which are merged by one aggregate.
     """
-    spark = left.sparkSession
-    right = right.select(F.col("id").alias("roi_id"), "vec")
-    out = None
-    for part in _blocks(right, block):
-        got = part.toArrow().combine_chunks()
-        shared = spark.sparkContext.broadcast((got["roi_id"].to_numpy(), unit_rows(_matrix(got["vec"].combine_chunks()))))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, u = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                d = np.sqrt(np.maximum(2 - 2 * unit_rows(_matrix(batch.column(1))) @ u.T, 0))
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d))[:, :2]
-                best = np.take_along_axis(d, order, 1)
-                second = best[:, 1] if best.shape[1] > 1 else np.full(len(d), np.inf)
-                columns = [batch.column(0), ids[order[:, 0]], best[:, 0], second, np.full(len(d), d.shape[1], np.int64), d.sum(1), (d * d).sum(1)]
-                yield pa.RecordBatch.from_arrays([columns[0], *map(pa.array, columns[1:])], ["id", "other", "d1", "d2", "n", "sum", "squares"])
-
-        found = left.select("id", "vec").mapInArrow(run, "id long, other long, d1 double, d2 double, n long, sum double, squares double")
-        out = found if out is None else out.unionByName(found)
+
+    def run(mine: pa.Table, others: pa.Table) -> pa.Table:
+        names = ["id", "other", "d1", "d2", "n", "sum", "squares"]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+        parts: list[list] = [[np.zeros(0, t.to_pandas_dtype()) for t in kinds]]
+        own, ids = mine["roi_id"].to_numpy(), others["roi_id"].to_numpy()
+        u = unit_rows(_matrix(others["vec"].combine_chunks()))
+        for at in range(0, len(own), 1024):
+            part = mine["vec"].slice(at, 1024).combine_chunks()
+            d = np.sqrt(np.maximum(2 - 2 * unit_rows(_matrix(part)) @ u.T, 0))
+            order = np.lexsort((np.broadcast_to(ids, d.shape), d))[:, :2]
+            best = np.take_along_axis(d, order, 1)
+            second = best[:, 1] if best.shape[1] > 1 else np.full(len(d), np.inf)
+            parts.append([own[at : at + 1024], ids[order[:, 0]], best[:, 0], second, np.full(len(d), d.shape[1], np.int64), d.sum(1), (d * d).sum(1)])
+        return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*parts, strict=True), kinds, strict=True)], names)
+
+    keyed = lambda rows: rows.select(F.col("id").cast("long").alias("roi_id"), "vec")
+    out = _pairs_of_blocks(keyed(left), keyed(right), block, run, "id long, other long, d1 double, d2 double, n long, sum double, squares double")
     best = out.groupBy("id").agg(
         F.min(F.struct("d1", "other")).alias("best"), F.slice(F.sort_array(F.flatten(F.collect_list(F.array("d1", "d2")))), 1, 2).alias("two"), F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.sum("squares").alias("squares")
     )

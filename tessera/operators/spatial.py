@@ -112,9 +112,18 @@ def tiles(spark: SparkSession, height: int, width: int, block_height: int, block
 
 
 def block_members(footprint: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
-    """``roi_id, block_id``: objects with a pixel in a block. The block list is a frame's tiling, small and broadcast."""
-    inside = (_y(width) >= F.col("y0")) & (_y(width) < F.col("y1")) & (_x(width) >= F.col("x0")) & (_x(width) < F.col("x1"))
-    return footprint.where("weight > 0").join(F.broadcast(blocks), inside).select("roi_id", "block_id").distinct()
+    """``roi_id, block_id``: objects with a pixel in a block.
+
+    Pixels and blocks meet in cells of the frame, of the size of the largest block, by an
+    equi-join: a block lies in four cells at most.
+    """
+    tall, wide = blocks.agg(F.max(F.col("y1") - F.col("y0")), F.max(F.col("x1") - F.col("x0"))).first()
+    if not tall or not wide:
+        return footprint.join(blocks, F.lit(False)).select("roi_id", "block_id")
+    cells = lambda low, high, size: F.sequence(F.floor(F.col(low) / size), F.floor((F.col(high) - 1) / size))
+    spread = blocks.where("y1 > y0 AND x1 > x0").withColumn("cy", F.explode(cells("y0", "y1", tall))).withColumn("cx", F.explode(cells("x0", "x1", wide)))
+    pixels = footprint.where("weight > 0").select("roi_id", _y(width).alias("y"), _x(width).alias("x"), F.floor(_y(width) / tall).alias("cy"), F.floor(_x(width) / wide).alias("cx"))
+    return pixels.join(spread, ["cy", "cx"]).where("y >= y0 AND y < y1 AND x >= x0 AND x < x1").select("roi_id", "block_id").distinct()
 
 
 def block_candidates(members: DataFrame) -> DataFrame:
@@ -126,12 +135,16 @@ def block_candidates(members: DataFrame) -> DataFrame:
 def nearest_grid(points: DataFrame, spark: SparkSession, n: int, low: float, high: float, most: float) -> DataFrame:
     """``gy, gx, roi_id``: nearest point to each of ``n * n`` grid points, within ``most``.
 
-    The grid is the small side and is broadcast; one aggregate with map-side minima.
+    Points and grid meet in square cells of side ``most`` and their neighbours, by an
+    equi-join; one aggregate with map-side minima.
     """
     step = (high - low) / (n - 1)
     grid = spark.range(n).select((F.lit(low) + F.col("id") * F.lit(step)).alias("gy")).crossJoin(spark.range(n).select((F.lit(low) + F.col("id") * F.lit(step)).alias("gx")))
     d = F.sqrt(F.pow(F.col("y") - F.col("gy"), F.lit(2.0)) + F.pow(F.col("x") - F.col("gx"), F.lit(2.0)))
-    near = points.crossJoin(F.broadcast(grid)).select("gy", "gx", "roi_id", d.alias("d")).where(F.col("d") <= most)
+    cell = lambda v: F.floor(v / F.lit(float(most)))
+    around = lambda v: F.explode(F.array(cell(v) - 1, cell(v), cell(v) + 1))
+    grid = grid.withColumn("cy", around(F.col("gy"))).withColumn("cx", around(F.col("gx")))
+    near = points.withColumns({"cy": cell(F.col("y")), "cx": cell(F.col("x"))}).join(grid, ["cy", "cx"]).select("gy", "gx", "roi_id", d.alias("d")).where(F.col("d") <= most)
     return near.groupBy("gy", "gx").agg(F.min(F.struct("d", "roi_id")).alias("b")).select("gy", "gx", F.col("b.roi_id").alias("roi_id"), F.col("b.d").alias("d"))
 
 

@@ -257,7 +257,9 @@ def attach_hub(spark, d):
 
 @register("isotonic_calibration")
 def isotonic_calibration(spark, d):
-    g = graph(spark, d).cache()
+    from tessera.operators.checkpoints import cut
+
+    g = cut(graph(spark, d))
     tables = {c: C.calibrate_feature(g, c, BINS, WINDOW) for c in ("s_nn", "s_swt")}
     return C.naive_bayes(g, tables).select("i", "j", F.round("p_same", 6).alias("p_same"))
 

@@ -82,18 +82,24 @@ class Archive:
 STAT = "session_id int, roi_idx long, ypix array<int>, xpix array<int>, lam array<double>, neuropil_mask array<int>"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers report it: whole, with the file system in front."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def read_stat(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Segmentation records of NumPy ``stat`` files, one file per session in the given order.
 
     Files hold pickled records; read only files you trust.
     """
-    order = {p.split(":")[-1].rstrip("/").split("/")[-2] + "/" + p.split("/")[-1] if "/" in p else p: k for k, p in enumerate(paths)}
+    order = {qualified(spark, p): k for k, p in enumerate(paths)}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for r in frame.itertuples():
-                session = order["/".join(r.path.split("/")[-2:])]
+                session = order[r.path]
                 for k, s in enumerate(np.load(io.BytesIO(r.content), allow_pickle=True)):
                     rows.append((session, k, np.asarray(s["ypix"], np.int32).tolist(), np.asarray(s["xpix"], np.int32).tolist(), np.asarray(s["lam"], float).tolist(), np.asarray(s.get("neuropil_mask", []), np.int32).tolist()))
             yield pd.DataFrame(rows, columns=["session_id", "roi_idx", "ypix", "xpix", "lam", "neuropil_mask"])
