@@ -18,6 +18,12 @@ def ensure_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(given or f"file://{tempfile.mkdtemp(prefix='tessera-checkpoint-')}")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    ensure_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(rows: DataFrame) -> DataFrame:
     ensure_dir(rows.sparkSession)
     return rows.checkpoint()

@@ -95,7 +95,8 @@ def stratified_sample(rows: DataFrame, strata: str, n: int, keys: tuple[str, ...
     Rows are ranked within ranges of the hash, so a stratum that holds most rows is split.
     """
     counts = rows.groupBy(strata).agg(F.count("*").alias("__n"))
-    share = counts.crossJoin(F.broadcast(counts.agg(F.sum("__n").alias("__all")))).select(strata, F.greatest(F.floor(F.col("__n") * n / F.col("__all")), F.lit(least)).alias("__take"))
+    total = rows.count()
+    share = counts.select(strata, F.greatest(F.floor(F.col("__n") * n / max(total, 1)), F.lit(least)).alias("__take"))
     placed = placed_in_strata(rows, strata, hash_order(*keys), keys, CELLS, HASHES // CELLS + 1)
     return placed.join(share, strata).where("__place <= __take").select(*rows.columns)
 

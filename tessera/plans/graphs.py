@@ -255,6 +255,11 @@ def attach_hub(spark, d):
     return G.attach_hub(distances(spark, d).where("d < 0.5"), H.roi(spark, d), -5, 7.0).select("i", "j", F.round("d", 6).alias("d"))
 
 
+@register("default_cutoff", _G.rstrip() + ", " + _D + " SELECT round(avg(d) + stddev_pop(d), 6) AS cutoff FROM dist")
+def default_cutoff(spark, d):
+    return spark.createDataFrame([(round(G.default_cutoff(distances(spark, d)), 6),)], "cutoff double")
+
+
 @register("isotonic_calibration")
 def isotonic_calibration(spark, d):
     from tessera.operators.checkpoints import cut

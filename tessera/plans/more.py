@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
@@ -19,27 +22,37 @@ from tessera.sources import harness as H
 
 @register("quality_inclusion", Q.with_(Q.NN, Q.EDGES, Q.ROI) + """, e AS (SELECT a.label AS li, b.label AS lj, s FROM edges JOIN roi a ON a.roi_id = i JOIN roi b ON b.roi_id = j),
 n AS (SELECT label, count(*) AS n FROM roi GROUP BY 1),
-q AS (SELECT n.label, coalesce(sum(s) FILTER (li = lj), 0) / (n.n * (n.n - 1)) AS m, coalesce(max(s) FILTER (li <> lj), 0) AS o FROM n LEFT JOIN e ON li = n.label GROUP BY n.label, n.n)
-SELECT roi_id, roi.label FROM roi JOIN q ON q.label = roi.label WHERE (m - o) / greatest(m, o) > -0.9862""")
+q AS (SELECT label, (m - o) / greatest(m, o) AS good FROM (SELECT n.label, coalesce(sum(s) FILTER (li = lj), 0) / (n.n * (n.n - 1)) AS m, coalesce(max(s) FILTER (li <> lj), 0) AS o FROM n LEFT JOIN e ON li = n.label GROUP BY n.label, n.n)),
+full_ AS (SELECT r.roi_id, r.label AS own, n.label AS other, coalesce(sum(1 - e.s), 0) AS total, count(e.s) AS c, any_value(n.n - (n.label = r.label)::INTEGER) AS m
+  FROM roi r CROSS JOIN n LEFT JOIN (SELECT i, s, roi.label AS lj FROM edges JOIN roi ON roi.roi_id = j) e ON e.i = r.roi_id AND e.lj = n.label GROUP BY r.roi_id, r.label, n.label),
+ab AS (SELECT roi_id, own AS label, max((total + (m - c) * 2.0) / m) FILTER (own = other) AS a, min((total + (m - c) * 2.0) / m) FILTER (own <> other) AS b FROM full_ GROUP BY ALL),
+sil AS (SELECT roi_id, label, (b - a) / greatest(a, b) AS s FROM ab)
+SELECT roi_id, sil.label FROM sil JOIN q ON q.label = sil.label WHERE good > (SELECT avg(good) FROM q) AND s > (SELECT avg(s) FROM sil)""")
 def quality_inclusion(spark, d):
-    """Objects of clusters whose silhouette is above a bound (the harness graph has no good ones)."""
-    r = H.roi(spark, d)
-    good = U.cluster_quality(G.edges(spark, d), r).where("silhouette > -0.9862").select("label")
-    return r.select("roi_id", "label").join(good, "label", "left_semi").select("roi_id", "label")
+    """Objects above the mean silhouette of objects, in clusters above the mean silhouette of clusters."""
+    from tessera.operators.checkpoints import cut
+    from tessera.pipeline import good_samples
+
+    e, r = G.edges(spark, d), H.roi(spark, d)
+    clusters = cut(U.cluster_quality(e, r))
+    samples = cut(U.sample_silhouette(e.select("i", "j", (F.lit(1.0) - F.col("s")).alias("d")), r, fill=2.0))
+    bound = lambda rows: rows.agg(F.avg("silhouette")).first()[0]
+    return good_samples(SimpleNamespace(clusters=clusters, samples=samples), bound(clusters), bound(samples)).select("roi_id", "label")
 
 
-@register("neuropil_masks", "SELECT roi_id, pixel FROM (SELECT l_suppkey AS roi_id, unnest(list(l_partkey)) AS pixel FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)")
+@register("neuropil_masks", "SELECT roi_id, pixel FROM (SELECT l_suppkey AS roi_id, unnest(list(l_partkey)) AS pixel FROM lineitem GROUP BY 1)")
 def neuropil_masks(spark, d):
-    x = H.table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("roi_id")).agg(F.collect_list("l_partkey").alias("neuropil_mask"))
+    x = H.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("roi_id")).agg(F.collect_list("l_partkey").alias("neuropil_mask"))
     return P.neuropil(x)
 
 
 @register("natural_order", "SELECT name, row_number() OVER (ORDER BY regexp_extract(name, '^[^0-9]*'), k)::INTEGER AS place FROM (SELECT 'file' || p_partkey || '.npy' AS name, p_partkey AS k FROM part)")
 def natural_order(spark, d):
-    from pyspark.sql.window import Window
+    from tessera.operators.order import numbered
 
     names = H.table(spark, d, "part").select(F.concat(F.lit("file"), F.col("p_partkey"), F.lit(".npy")).alias("name"))
-    return names.withColumn("place", F.row_number().over(Window.orderBy(files.natural_key(F.col("name")), "name")))
+    keyed = names.withColumn("k", files.natural_key(F.col("name")))
+    return numbered(keyed, "k", "name", kind="int").select("name", (F.col("place") + 1).alias("place"))
 
 
 @register("content_hashes", "SELECT p_partkey, md5(p_name) AS md5, sha256(p_name) AS sha256 FROM part")
@@ -126,3 +139,19 @@ def tracking_pipeline(spark, d):
     roi = f.select("roi_id", "session_id").distinct().join(centroid(f, 40), "roi_id")
     params = {"frame": {"height": 500, "width": 40}, "normalization": {"k_min": 1, "k_max": 4}, "mixing": {"method": "manual"}, "pruning": {"d_cutoff": 0.85}}
     return track(f, roi, {"nn": H.latent(spark, d, "nn")}, params).labels
+
+
+@register("stat_files", """SELECT session_id, roi_idx, pixel, round(lam / (1.0 + k + 2), 9) AS weight FROM (
+  SELECT n_regionkey::INTEGER AS session_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS roi_idx, n_nationkey AS k, unnest([k * 40 + 2, k * 40 + 3, (k + 1) * 40 + 2]) AS pixel, unnest([1.0, k, 2.0]) AS lam FROM nation)""")
+def stat_files(spark, d):
+    """Nations as objects, regions as sessions: written as a recording's files, each in a folder of its own, and read again."""
+    from tessera.operators.checkpoints import shared_folder
+
+    root = f"{shared_folder(spark)}/stat-files-{uuid.uuid4().hex[:12]}"
+    found = H.table(spark, d, "nation").select("n_regionkey", "n_nationkey").orderBy("n_regionkey", "n_nationkey").collect()  # a table of fixed size
+    paths = []
+    for region in sorted({r["n_regionkey"] for r in found}):
+        keys = [r["n_nationkey"] for r in found if r["n_regionkey"] == region]
+        paths.append(f"{root}/s{region}/plane0/stat.npy")
+        files.write_stat(spark, paths[-1], [{"ypix": [k, k, k + 1], "xpix": [2, 3, 2], "lam": [1.0, float(k), 2.0]} for k in keys])
+    return files.stat_to_footprint(files.read_stat(spark, paths), 40).select("session_id", "roi_idx", "pixel", F.round("weight", 9).alias("weight"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -144,10 +146,12 @@ def ucid_align_inverse(spark, d):
     return ids.align_inverse(labels, ids.align(labels, _values(spark, d))).select("session_id", "roi_idx", "ucid", "v")
 
 
-@register("invert_ucids", Q.with_(Q.UCID, "once AS (SELECT session_id, ucid * 1000 + roi_idx % 1000 AS ucid, roi_idx FROM ucid WHERE ucid IN (0, 1))", "spine AS (SELECT s.session_id, u.ucid FROM (SELECT DISTINCT session_id FROM once) s, (SELECT unnest(range((SELECT max(ucid) + 1 FROM once))) AS ucid) u)") + "SELECT session_id, ucid, coalesce(once.roi_idx, -1) AS roi_idx FROM spine LEFT JOIN once USING (session_id, ucid)")
+@register("invert_ucids", Q.with_(Q.UCID, "once AS (SELECT session_id, ucid * (SELECT max(roi_idx) + 1 FROM ucid) + roi_idx AS ucid, roi_idx FROM ucid WHERE ucid >= 0)", "spine AS (SELECT s.session_id, u.ucid FROM (SELECT DISTINCT session_id FROM once) s, (SELECT unnest(range((SELECT max(ucid) + 1 FROM once))) AS ucid) u)") + "SELECT session_id, ucid, coalesce(once.roi_idx, -1) AS roi_idx FROM spine LEFT JOIN once USING (session_id, ucid)")
 def invert_ucids(spark, d):
-    once = H.ucid(spark, d).where("ucid IN (0, 1)").withColumn("ucid", F.col("ucid") * 1000 + F.col("roi_idx") % 1000)
-    return ids.invert(once)
+    """Every assigned object, under ids made unique in a session."""
+    labels = H.ucid(spark, d)
+    stride = labels.agg(F.max("roi_idx")).first()[0] + 1
+    return ids.invert(labels.where("ucid >= 0").withColumn("ucid", F.col("ucid") * stride + F.col("roi_idx")))
 
 
 @register("session_offsets", _ROI + "SELECT session_id, count(*) AS n, (sum(count(*)) OVER (ORDER BY session_id) - count(*))::BIGINT AS first FROM roi GROUP BY session_id")
@@ -167,11 +171,13 @@ def value_counts(spark, d):
     return coverage(H.roi(spark, d))
 
 
-@register("union_sessions", "SELECT 1 AS session_id, l_suppkey AS roi_id, l_partkey AS pixel, l_quantity AS weight FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 2, l_suppkey, l_partkey, l_quantity FROM lineitem WHERE l_linenumber = 2")
+@register("union_sessions", "SELECT l_linenumber AS session_id, l_suppkey AS roi_id, l_partkey AS pixel, l_quantity AS weight FROM lineitem")
 def union_sessions(spark, d):
+    """Each line number's rows are a session; the sessions are put together again."""
     x = H.table(spark, d, "lineitem")
-    part = lambda k: x.where(F.col("l_linenumber") == k).select(F.lit(k).alias("session_id"), F.col("l_suppkey").alias("roi_id"), F.col("l_partkey").alias("pixel"), F.col("l_quantity").alias("weight"))
-    return part(1).unionByName(part(2))
+    part = lambda k: x.where(F.col("l_linenumber") == k).select(F.col("l_linenumber").alias("session_id"), F.col("l_suppkey").alias("roi_id"), F.col("l_partkey").alias("pixel"), F.col("l_quantity").alias("weight"))
+    parts = [part(r[0]) for r in x.select("l_linenumber").distinct().orderBy("l_linenumber").collect()]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register("with_discarded", "SELECT l_orderkey, l_linenumber, (l_returnflag <> 'R')::INTEGER AS overall FROM lineitem")
@@ -237,16 +243,9 @@ def boxcar_smooth(spark, d):
     return C.boxcar(C.histogram(H.table(spark, d, "lineitem"), "l_quantity", 0.0, 50.0, 20), "n", 5, "smooth").select("bin", "n", F.round("smooth", 6).alias("smooth"))
 
 
-@register("running_best", "SELECT o_orderkey, best, max(best) OVER r - min(best) OVER r AS span FROM (SELECT o_orderkey, min(o_totalprice) OVER (ORDER BY o_orderkey) AS best FROM orders WHERE o_orderkey < 2000) WINDOW r AS (ORDER BY o_orderkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+@register("running_best", "SELECT o_orderkey, best, max(best) OVER r - min(best) OVER r AS span FROM (SELECT o_orderkey, min(o_totalprice) OVER (ORDER BY o_orderkey) AS best FROM orders) WINDOW r AS (ORDER BY o_orderkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 def running_best(spark, d):
-    """One tuning run's log is a short table; here the orders below 2000 stand for its trials."""
-    trials = H.table(spark, d, "orders").where("o_orderkey < 2000").select("o_orderkey", "o_totalprice")
-    return C.running_best(trials, "o_orderkey", "o_totalprice", 20).select("o_orderkey", "best", "span")
-
-
-@register("running_best_whole", "SELECT o_orderkey, best, max(best) OVER r - min(best) OVER r AS span FROM (SELECT o_orderkey, min(o_totalprice) OVER (ORDER BY o_orderkey) AS best FROM orders) WINDOW r AS (ORDER BY o_orderkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
-def running_best_whole(spark, d):
-    """``running_best`` over all orders."""
+    """All orders as trials."""
     trials = H.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     return C.running_best_whole(trials, "o_orderkey", "o_totalprice", 20).select("o_orderkey", "best", "span")
 
@@ -264,9 +263,10 @@ def warp_chain(spark, d):
     return chain(per).select("session_id", "dy")
 
 
-@register("trace_align", Q.with_(Q.TRACE) + "SELECT session_id, roi_idx, count(*) AS days, round(sum(value), 4) AS total FROM trace GROUP BY ALL")
+@register("trace_align", Q.with_(Q.UCID, _SPINE, Q.TRACE, "tr AS (SELECT session_id, roi_idx, count(*) AS days, round(sum(value), 4) AS total FROM trace GROUP BY ALL)") + "SELECT session_id, ucid, roi_idx, days, total FROM spine LEFT JOIN last USING (session_id, ucid) LEFT JOIN tr USING (session_id, roi_idx)")
 def trace_align(spark, d):
-    return H.trace(spark, d).groupBy("session_id", "roi_idx").agg(F.count("*").alias("days"), F.round(F.sum("value"), 4).alias("total"))
+    per = H.trace(spark, d).groupBy("session_id", "roi_idx").agg(F.count("*").alias("days"), F.round(F.sum("value"), 4).alias("total"))
+    return ids.align(H.ucid(spark, d), per).select("session_id", "ucid", "roi_idx", "days", "total")
 
 
 @register("top_two_ratio", "SELECT o_custkey, first, second, round(second / first, 6) AS ratio FROM (SELECT o_custkey, o_totalprice AS first, lead(o_totalprice) OVER w AS second, row_number() OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)) WHERE k = 1")

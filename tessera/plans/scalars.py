@@ -97,9 +97,12 @@ def clip_and_standardise(spark, d):
     return H.latent(spark, d, "nn").select("roi_id", (F.round(F.get(u, F.lit(1)), 6) + 0.0).alias("v"))
 
 
-@register("image_flags", Q.with_(Q.NN) + "SELECT roi_id, false AS has_nan, false AS has_inf, list_max(vec) = 0 AND list_min(vec) = 0 AS all_zero FROM nn")
+@register("image_flags", Q.with_(Q.NN) + "SELECT roi_id, roi_id % 5 = 0 AS has_nan, roi_id % 7 = 0 AS has_inf, (roi_id % 3 = 0 OR (list_max(vec) = 0 AND list_min(vec) = 0)) AND roi_id % 5 <> 0 AND roi_id % 7 <> 0 AS all_zero FROM nn")
 def image_flags(spark, d):
-    return H.latent(spark, d, "nn").select("roi_id", S.image_flags(F.col("vec")).alias("f")).select("roi_id", "f.*")
+    """Every fifth image has a NaN, every seventh an infinite value, every third is else zero."""
+    k = F.col("roi_id")
+    bad = lambda x, i: F.when((k % 5 == 0) & (i == 3), float("nan")).when((k % 7 == 0) & (i == 4), F.when(k % 2 == 0, float("inf")).otherwise(float("-inf"))).when(k % 3 == 0, 0.0).otherwise(x)
+    return H.latent(spark, d, "nn").select("roi_id", S.image_flags(F.transform("vec", bad)).alias("f")).select("roi_id", "f.*")
 
 
 @register("odd_even", "SELECT p_partkey, p_size + (p_size % 2 = 0)::INTEGER AS odd, p_size - (p_size % 2 <> 0)::INTEGER AS even FROM part")
@@ -112,7 +115,8 @@ def log_spacing(spark, d):
     return spark.range(1).select(F.posexplode(S.log_spaced(0.5, 200.0, 25)).alias("k", "v")).select("k", F.round("v", 6).alias("v"))
 
 
-@register("zscore_pvalue")
+@register("zscore_pvalue", """SELECT l_orderkey, l_linenumber, round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(31), lambda n: pow(-1, n) * pow(z / sqrt(2), 2 * n + 1) / (factorial(n::INTEGER) * (2 * n + 1)))), 6) AS p, round(z, 4) AS z FROM (
+  SELECT l_orderkey, l_linenumber, abs(l_quantity - 25) / 10 AS z FROM lineitem)""")
 def zscore_pvalue(spark, d):
     z = (F.col("l_quantity") - 25) / 10
     return H.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.zscore_to_pvalue(z), 6).alias("p"), F.round(S.pvalue_to_zscore(S.zscore_to_pvalue(z)), 4).alias("z"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.operators import similarity as M
@@ -51,10 +52,10 @@ def max_projection(spark, d):
     return P.max_projection(H.footprint(spark, d))
 
 
-@register("max_projection_dense", _FP + "SELECT s.session_id, p.pixel, coalesce(v, 0) AS v FROM (SELECT DISTINCT session_id FROM footprint) s, (SELECT unnest(range(400)) AS pixel) p LEFT JOIN (SELECT session_id, pixel, max(weight) AS v FROM footprint GROUP BY ALL) m ON m.session_id = s.session_id AND m.pixel = p.pixel")
+@register("max_projection_dense", _FP + "SELECT s.session_id, p.pixel, coalesce(v, 0) AS v FROM (SELECT DISTINCT session_id FROM footprint) s, (SELECT unnest(range((SELECT max(pixel) // 40 + 1 FROM footprint) * 40)) AS pixel) p LEFT JOIN (SELECT session_id, pixel, max(weight) AS v FROM footprint GROUP BY ALL) m ON m.session_id = s.session_id AND m.pixel = p.pixel")
 def max_projection_dense(spark, d):
     f = H.footprint(spark, d)
-    return P.densify(P.max_projection(f), f.select("session_id").distinct(), 400)
+    return P.densify(P.max_projection(f), f.select("session_id").distinct(), H.frame_height(f, WIDTH) * WIDTH)
 
 
 @register("roi_crop", Q.with_(Q.FOOTPRINT, _CENTRE) + "SELECT * FROM (SELECT roi_id, pixel // 40 - cy + 6 AS y, pixel % 40 - cx + 6 AS x, weight FROM footprint JOIN centre USING (roi_id)) WHERE y BETWEEN 0 AND 11 AND x BETWEEN 0 AND 11")
@@ -99,9 +100,10 @@ def bbox_by_label(spark, d):
     return P.bounds_by_label(f, f.select("roi_id", F.col("session_id").alias("label")).distinct(), WIDTH)
 
 
-@register("border_mask", _FP + "SELECT session_id, pixel, CASE WHEN pixel // 40 >= 3 AND pixel // 40 < 47 AND pixel % 40 >= 3 AND pixel % 40 < 37 THEN v ELSE 0 END AS v FROM (SELECT session_id, pixel, max(weight) AS v FROM footprint GROUP BY ALL)")
+@register("border_mask", _FP + "SELECT session_id, pixel, CASE WHEN pixel // 40 >= 3 AND pixel // 40 < (SELECT max(pixel) // 40 - 2 FROM footprint) AND pixel % 40 >= 3 AND pixel % 40 < 37 THEN v ELSE 0 END AS v FROM (SELECT session_id, pixel, max(weight) AS v FROM footprint GROUP BY ALL)")
 def border_mask(spark, d):
-    return P.border_mask(P.max_projection(H.footprint(spark, d)), 50, WIDTH, 3)
+    f = H.footprint(spark, d)
+    return P.border_mask(P.max_projection(f), H.frame_height(f, WIDTH), WIDTH, 3)
 
 
 @register("colour_overlay", _FP + "SELECT session_id, pixel, channel::INTEGER AS channel, max(weight * CASE channel WHEN 0 THEN roi_id % 3 WHEN 1 THEN roi_id % 5 ELSE 1 END)::DOUBLE AS v FROM footprint, range(3) c(channel) GROUP BY ALL")
@@ -112,41 +114,28 @@ def colour_overlay(spark, d):
     return P.colour_overlay(f, labels, colours)
 
 
-@register("warp_algebra", "SELECT s_suppkey, round(2 * s_suppkey % 7 + 3.0, 6) AS sx, round(s_suppkey % 5 - 1.0, 6) AS sy FROM supplier")
+@register("warp_algebra", """SELECT s_suppkey, round(a * x + 0.25 * y + 3, 6) AS sx, round(b * y - 1, 6) AS sy, round((x - 3 - 0.25 * (y + 1) / b) / a, 6) AS back_x, round((y + 1) / b, 6) AS back_y FROM (
+  SELECT s_suppkey, 1.0 + s_suppkey % 3 AS a, 0.5 + s_suppkey % 2 AS b, 2 * s_suppkey % 7 AS x, s_suppkey % 5 AS y FROM supplier)""")
 def warp_algebra(spark, d):
-    """A shift composed with a scale, applied to one point of each supplier; the inverse applied twice undoes itself."""
-    matrix = lambda *v: F.array(*(F.lit(x) for x in v))
-    s = H.table(spark, d, "supplier").select("s_suppkey")
-    s = s.withColumn("m", P.compose(matrix(1.0, 0.0, 3.0, 0.0, 1.0, -1.0, 0.0, 0.0, 1.0), matrix(1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)))
-    for _ in range(2):
-        s = s.withColumn("m", P.invert_warp(F.col("m")))
-    s = s.select("s_suppkey", P.warp_to_remap(F.col("m"), (F.col("s_suppkey") % 5).cast("double"), (2 * F.col("s_suppkey") % 7).cast("double")).alias("r"))
-    return s.select("s_suppkey", F.round("r.sx", 6).alias("sx"), F.round("r.sy", 6).alias("sy"))
+    """A supplier's own scale and shear, then a shift, applied to a point; and the inverse of both to the same point."""
+    number = lambda x: x.cast("double") if isinstance(x, Column) else F.lit(float(x))
+    matrix = lambda *v: F.array(*map(number, v))
+    k = F.col("s_suppkey")
+    s = H.table(spark, d, "supplier").select("s_suppkey", P.compose(matrix(1, 0, 3, 0, 1, -1, 0, 0, 1), matrix(1 + k % 3, 0.25, 0, 0, 0.5 + k % 2, 0, 0, 0, 1)).alias("m"))
+    y, x = (k % 5).cast("double"), (2 * k % 7).cast("double")
+    s = s.select("s_suppkey", P.warp_to_remap(F.col("m"), y, x).alias("r"), P.warp_to_remap(P.invert_warp(F.col("m")), y, x).alias("b"))
+    return s.select("s_suppkey", *(F.round(c, 6).alias(n) for c, n in (("r.sx", "sx"), ("r.sy", "sy"), ("b.sx", "back_x"), ("b.sy", "back_y"))))
 
 
-_IMG = "img AS (SELECT session_id, pixel // 40 AS y, pixel % 40 AS x, max(weight) AS v FROM footprint WHERE pixel < 1600 GROUP BY ALL)"
+_IMG = "img AS (SELECT session_id, pixel // 40 AS y, pixel % 40 AS x, max(weight) AS v FROM footprint GROUP BY ALL)"
 
 
 @register("remap_bilinear", Q.with_(Q.FOOTPRINT, _IMG) + """SELECT session_id, y, x, round(sum(k * coalesce(v, 0)), 6) AS v FROM (
-  SELECT g.session_id, g.y, g.x, n.k, img.v FROM (SELECT session_id, y, x FROM (SELECT DISTINCT session_id FROM img), range(20) a(y), range(20) b(x)) g,
-    (VALUES (0, 0, 0.375), (0, 1, 0.375), (1, 0, 0.125), (1, 1, 0.125)) n(dy, dx, k)
-  LEFT JOIN img ON img.session_id = g.session_id AND img.y = g.y + n.dy + 1 AND img.x = g.x + n.dx) GROUP BY ALL""")
-def remap_bilinear(spark, d):
-    image = H.footprint(spark, d).where("pixel < 1600").groupBy("session_id", F.floor(F.col("pixel") / WIDTH).cast("bigint").alias("y"), (F.col("pixel") % WIDTH).alias("x")).agg(F.max("weight").alias("v"))
-    ys = spark.range(20).toDF("y").crossJoin(spark.range(20).toDF("x"))
-    flow = image.select("session_id").distinct().crossJoin(F.broadcast(ys)).withColumns({"dy": F.lit(1.25), "dx": F.lit(0.5)})
-    return P.remap_bilinear(image, P.flow_to_remap(flow)).select("session_id", "y", "x", F.round("v", 6).alias("v"))
-
-
-_ALL_IMG = "img AS (SELECT session_id, pixel // 40 AS y, pixel % 40 AS x, max(weight) AS v FROM footprint GROUP BY ALL)"
-
-
-@register("remap_bilinear_whole", Q.with_(Q.FOOTPRINT, _ALL_IMG) + """SELECT session_id, y, x, round(sum(k * coalesce(v, 0)), 6) AS v FROM (
   SELECT g.session_id, g.y, g.x, n.k, img.v FROM (SELECT session_id, y, x FROM (SELECT DISTINCT session_id FROM img), (SELECT unnest(range(max(y) + 1)) AS y FROM img) a, range(40) b(x)) g,
     (VALUES (0, 0, 0.375), (0, 1, 0.375), (1, 0, 0.125), (1, 1, 0.125)) n(dy, dx, k)
   LEFT JOIN img ON img.session_id = g.session_id AND img.y = g.y + n.dy + 1 AND img.x = g.x + n.dx) GROUP BY ALL""")
-def remap_bilinear_whole(spark, d):
-    """``remap_bilinear`` over every pixel, to every place of a frame that holds them all."""
+def remap_bilinear(spark, d):
+    """Every pixel, to every place of a frame that holds them all."""
     f = H.footprint(spark, d)
     image = f.groupBy("session_id", F.floor(F.col("pixel") / WIDTH).cast("bigint").alias("y"), (F.col("pixel") % WIDTH).alias("x")).agg(F.max("weight").alias("v"))
     ys = spark.range(H.frame_height(f, WIDTH)).toDF("y").crossJoin(spark.range(WIDTH).toDF("x"))
@@ -163,15 +152,9 @@ def mix_fov(spark, d):
     return P.mix_footprints(P.global_minmax(P.max_projection(f)), f, 0.25).select("session_id", "pixel", F.round("v", 6).alias("v"))
 
 
-@register("warp_footprints", _FP + "SELECT roi_id, session_id, pixel, round(w / sum(w) OVER (PARTITION BY roi_id), 9) AS weight FROM (SELECT roi_id, session_id, (pixel // 40 + 2) * 40 + pixel % 40 + 1 AS pixel, weight AS w FROM footprint WHERE pixel // 40 + 2 < 40 AND pixel % 40 + 1 < 40)")
+@register("warp_footprints", _FP + "SELECT roi_id, session_id, pixel, round(w / sum(w) OVER (PARTITION BY roi_id), 9) AS weight FROM (SELECT roi_id, session_id, (pixel // 40 + 2) * 40 + pixel % 40 + 1 AS pixel, weight AS w FROM footprint WHERE pixel // 40 + 2 <= (SELECT max(pixel) // 40 FROM footprint) AND pixel % 40 + 1 < 40)")
 def warp_footprints(spark, d):
-    shifts = spark.range(8).select(F.col("id").cast("int").alias("session_id"), F.lit(2).alias("dy"), F.lit(1).alias("dx"))
-    return P.warp_footprints(H.footprint(spark, d), P.shift_remap(spark, shifts, 40, WIDTH), WIDTH).select("roi_id", "session_id", "pixel", F.round("weight", 9).alias("weight"))
-
-
-@register("warp_footprints_whole", _FP + "SELECT roi_id, session_id, pixel, round(w / sum(w) OVER (PARTITION BY roi_id), 9) AS weight FROM (SELECT roi_id, session_id, (pixel // 40 + 2) * 40 + pixel % 40 + 1 AS pixel, weight AS w FROM footprint WHERE pixel // 40 + 2 <= (SELECT max(pixel) // 40 FROM footprint) AND pixel % 40 + 1 < 40)")
-def warp_footprints_whole(spark, d):
-    """``warp_footprints`` in a frame that holds every pixel."""
+    """All footprints, in a frame that holds every pixel."""
     f = H.footprint(spark, d)
     shifts = spark.range(8).select(F.col("id").cast("int").alias("session_id"), F.lit(2).alias("dy"), F.lit(1).alias("dx"))
     return P.warp_footprints(f, P.shift_remap(spark, shifts, H.frame_height(f, WIDTH), WIDTH), WIDTH).select("roi_id", "session_id", "pixel", F.round("weight", 9).alias("weight"))
@@ -192,3 +175,8 @@ def stat_to_footprint(spark, d):
     stat = stat.select("session_id", "roi_idx", F.col("r.y").alias("ypix"), F.col("r.x").alias("xpix"), F.col("r.w").alias("lam"))
     shifts = spark.range(8).select(F.col("id").cast("int").alias("session_id"), F.lit(1).alias("dy"), F.lit(2).alias("dx"))
     return scan(stat, WIDTH, shifts).select("session_id", "roi_idx", "pixel", F.round("weight", 9).alias("weight"))
+
+
+@register("row_normalize_power", _FP + "SELECT roi_id, pixel, round(pow(weight, 1.5) / sum(pow(weight, 1.5)) OVER (PARTITION BY roi_id), 9) AS weight FROM footprint")
+def row_normalize_power(spark, d):
+    return M.row_normalize(H.footprint(spark, d), 1.0, 1.5).select("roi_id", "pixel", F.round("weight", 9).alias("weight"))

@@ -88,6 +88,18 @@ def qualified(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
+def write_stat(spark: SparkSession, path: str, records: list[dict]) -> None:
+    """Segmentation records of one session as a NumPy file, wherever Spark can write."""
+    content = io.BytesIO()
+    np.save(content, np.array(records, object), allow_pickle=True)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content.getvalue()))
+    finally:
+        out.close()
+
+
 def read_stat(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Segmentation records of NumPy ``stat`` files, one file per session in the given order.
 

@@ -22,9 +22,9 @@ def test_pixels_of_the_whole_frame_are_registered_and_warped(spark, tmp_path):
     d = footprints(spark, tmp_path, [[((y + s * 3) * 40 + x + s * 2, w) for y, x, w in blob] for s in (0, 1)])
     got = {r["session_id"]: (abs(r["dy"]), abs(r["dx"])) for r in registry.queries()["phase_correlation"](spark, d).collect()}
     assert got == {0: (0, 0), 1: (3, 2)}
-    moved = registry.queries()["warp_footprints_whole"](spark, d).where("session_id = 0").collect()
+    moved = registry.queries()["warp_footprints"](spark, d).where("session_id = 0").collect()
     assert {r["pixel"] for r in moved} == {(y + 2) * 40 + x + 1 for y, x, _ in blob}
-    drawn = registry.queries()["remap_bilinear_whole"](spark, d).where("v > 0").collect()
+    drawn = registry.queries()["remap_bilinear"](spark, d).where("v > 0").collect()
     assert max(r["y"] for r in drawn) == 76
 
 
@@ -43,4 +43,4 @@ def test_running_best_is_carried_over_all_ranges(spark):
 
 
 def test_running_best_whole_has_a_row_per_order(spark, sf_dir):
-    assert registry.queries()["running_best_whole"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert registry.queries()["running_best"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
