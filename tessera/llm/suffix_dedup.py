@@ -21,9 +21,9 @@ would not be distributed, so equal windows are first brought together:
 An anchor with more than ``HOT`` different contexts is split: its windows are dealt by
 where the anchor stands in them into ``SPLIT`` families, each under the digest of all
 bytes its windows share, so that only contexts which agree on most of a window meet.
-An anchor with more than ``DIRECT`` contexts is dealt to several indexes a family; each
-marks within its own contexts, and sends on the digests of the windows that are earliest
-in it, of which all but the earliest of all indexes are marked too.
+A family with more than ``DIRECT`` contexts is dealt to several indexes; each marks within
+its own contexts, and sends on the digests of the windows that are earliest in it, of
+which all but the earliest of all indexes are marked too.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ WINDOW = 100
 GRAM = 40
 HOT = 2000
 SPLIT = 4
-#: Contexts of one anchor that one index holds at most.
+#: Contexts of one family that one index holds at most.
 DIRECT = 8000
 #: Contexts that one index holds, if no anchor has more.
 BLOCK = 2500
@@ -106,8 +106,7 @@ def _sifter(most: int):
         """Rows (anchor, context, doc, place, again), sorted -> (kind, anchor, doc, place).
 
         Kind 0: the context stood before. Kind 1: the first of one of several contexts of the
-        anchor. Kind 2 (no doc; ``place`` is their number): the anchor has more than ``most``
-        contexts. Memory is one batch.
+        anchor. Kind 2 (no doc): the anchor has more than ``most`` contexts. Memory is one batch.
         """
         before = None  # the last row's anchor and context
         head, alone, contexts = None, False, 0  # the current anchor's first row, whether it is yet to be sent, contexts so far
@@ -135,7 +134,7 @@ def _sifter(most: int):
                 continue
             carried = head is not None and head[0] == anchor[0]
             if head is not None and not carried and contexts > most:
-                yield rows(2, np.array([head[0]]), np.zeros(1, np.int64), [contexts])
+                yield rows(2, np.array([head[0]]), np.zeros(1, np.int64), [0])
             if carried:
                 anchor, doc, place = (np.append(h, x) for h, x in zip(head, (anchor, doc, place), strict=True))
             start = np.append(True, anchor[1:] != anchor[:-1])
@@ -150,7 +149,7 @@ def _sifter(most: int):
                 total[0] += contexts - 1
             hot = firsts[:-1][total[:-1] > most]
             if len(hot):
-                yield rows(2, anchor[hot], np.zeros(len(hot), np.int64), total[:-1][total[:-1] > most])
+                yield rows(2, anchor[hot], np.zeros(len(hot), np.int64), np.zeros(len(hot)))
             if keep.any():
                 yield rows(1, anchor[keep], doc[keep], place[keep])
             last = firsts[-1]
@@ -159,13 +158,13 @@ def _sifter(most: int):
             contexts = int(total[-1])
             head = (anchor[last], doc[last], place[last])
         if head is not None and contexts > most:
-            yield rows(2, np.array([head[0]]), np.zeros(1, np.int64), [contexts])
+            yield rows(2, np.array([head[0]]), np.zeros(1, np.int64), [0])
 
     return sift
 
 
-def _cut(window: int, gram: int, direct: int):
-    """(doc, text, anchors) -> (key, split, doc, start, bytes): the contexts to index; hot anchors in families, very hot ones dealt (``split``)."""
+def _cut(window: int, gram: int):
+    """(doc, text, anchors) -> (key, hot, doc, start, bytes): the contexts to index; those of hot anchors in families."""
     reach = window - gram
     edges = [reach * k // SPLIT for k in range(SPLIT)] + [reach + 1]
 
@@ -174,29 +173,27 @@ def _cut(window: int, gram: int, direct: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for k, (text, found) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
                 whole = (text.as_py() or "").encode()
-                keys, splits, starts, parts = [], [], [], []
+                keys, hot, starts, parts = [], [], [], []
                 for a in found.as_py():
                     p = a["place"]
-                    if not a["contexts"]:
+                    if not a["hot"]:
                         left = max(0, p - reach)
                         keys.append(a["anchor"])
-                        splits.append(False)
+                        hot.append(False)
                         starts.append(left)
                         parts.append(whole[left : p + window])
                         continue
-                    indexes = -(-a["contexts"] // direct)
-                    place = int(mix(np.array([ids[k]], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(p))[0] % np.uint64(indexes))
                     for low, high in zip(edges[:-1], edges[1:], strict=True):
                         # windows with low .. high - 1 bytes before the anchor all hold these bytes
                         shared = whole[p - low : p + window - (high - 1)] if p >= low else b""
                         left, right = max(0, p - (high - 1)), min(len(whole), p + window - low)
                         if right - left >= window and len(shared) == window - (high - 1 - low):
-                            keys.append(int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=place.to_bytes(8, "big"), salt=bytes([low])).digest(), "big", signed=True))
-                            splits.append(indexes > 1)
+                            keys.append(int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=bytes([low])).digest(), "big", signed=True))
+                            hot.append(True)
                             starts.append(left)
                             parts.append(whole[left:right])
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(splits, pa.bool_()), pa.array(np.full(len(keys), ids[k])), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], ["key", "split", "doc", "start", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hot, pa.bool_()), pa.array(np.full(len(keys), ids[k])), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], ["key", "hot", "doc", "start", "bytes"])
 
     return run
 
@@ -384,14 +381,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sorted_rows = found.repartition(F.col("key")).drop("key").sortWithinPartitions("anchor", "context", "doc", "place")
     sifted = space.put("sifted", sorted_rows.mapInArrow(_sifter(hot_contexts), "kind int, anchor long, doc long, place int"))
 
-    hot = sifted.where("kind = 2").groupBy("anchor").agg(F.max("place").alias("contexts"))
+    hot = sifted.where("kind = 2").select("anchor").distinct().withColumn("hot", F.lit(True))
     if few(hot, BROADCAST_DOCS):
         hot = F.broadcast(hot)
     wanted = sifted.where("kind = 1").join(hot, "anchor", "left")
-    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", F.coalesce("contexts", F.lit(0)).alias("contexts"))).alias("anchors"))
-    cut = texts.join(wanted, "doc").select("doc", "text", "anchors").mapInArrow(_cut(window, gram, direct), "key long, split boolean, doc long, start int, bytes binary")
+    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("anchors"))
+    cut = texts.join(wanted, "doc").select("doc", "text", "anchors").mapInArrow(_cut(window, gram), "key long, hot boolean, doc long, start int, bytes binary")
+    cut = space.put("contexts", cut)
+    # a family too large for one index is dealt to several
+    large = space.put("large", cut.where("hot").groupBy("key").agg(F.ceil(F.count("*") / direct).alias("indexes")).where("indexes > 1"))
+    cut = cut.join(F.broadcast(large) if few(large, BROADCAST_DOCS) else large, "key", "left")
+    key = F.when(F.col("indexes").isNotNull(), F.xxhash64("key", F.pmod(F.xxhash64("doc", "start"), F.col("indexes")))).otherwise(F.col("key"))
+    cut = cut.select(key.alias("key"), F.col("indexes").isNotNull().alias("split"), "doc", "start", "bytes")
     together = cut.repartition(F.col("key")).sortWithinPartitions("key", "doc", "start")
     marks = space.put("marks", together.mapInArrow(_matcher(window, direct, block), "digest long, doc long, start int, end int"))
+    space.drop("contexts")
     dealt = marks.where("digest IS NOT NULL")
     marks = marks.where("digest IS NULL").drop("digest")
     if not dealt.isEmpty():
