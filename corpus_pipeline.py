@@ -17,7 +17,12 @@ from tessera.llm.store import Workspace, few, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language, or with a calibrated score below ``KEEP_SCORE``."""
+    """Drop documents without a language, or with a calibrated score below ``KEEP_SCORE``.
+
+    Null, empty and letterless texts are ``und`` and go. Repeated rows are judged alike.
+    Rows with a null label teach nothing but are judged; without any label all go. An
+    empty table stays empty; columns beyond those of ``documents`` pass through.
+    """
     model = langid.fit(docs.where(~langid.held_out()))
     judged = langid.predict(docs, model)
     return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= langid.KEEP_SCORE)).select(*docs.columns)
@@ -41,18 +46,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, within its error budget."""
+    """Drop documents that hold a benchmark item within its edit budget.
+
+    Null and empty texts hold nothing and stay; repeated rows are judged alike; without
+    documents or items the table passes as it is; other columns pass through.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep every document, with its secrets replaced by a mark; ``n_chars`` follows the text."""
+    """Keep every document, with its secrets replaced by a mark; ``n_chars`` follows the text (null for a null text).
+
+    Repeated rows stay repeated; an empty table stays empty; other columns pass through.
+    """
     fixed = secrets.redact(docs)
     return fixed.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of whole documents (words as tokens)."""
+    """Bins of whole documents (words as tokens).
+
+    Null and empty texts are pieces of length 0; repeated and null ids are packed like
+    others; an empty table gives no bins.
+    """
     return pack_documents(docs)
 
 
