@@ -29,3 +29,19 @@ def differences(a: Any, b: Any, rtol: float = 1e-7, atol: float = 0.0, at: str =
     if isinstance(a, (int, float)) and isinstance(b, (int, float)) and not isinstance(a, bool) and not isinstance(b, bool):
         return [] if np.isclose(a, b, rtol, atol, equal_nan=True) else [f"{at or 'value'}: {a} and {b}"]
     return [] if a == b else [f"{at or 'value'}: {a!r} and {b!r}"]
+
+
+def staged_report(found: Mapping[str, Any], expected: Mapping[str, Any], tolerances: Mapping[str, float], rtol: float = 1e-7) -> list[tuple[str, bool, list[str]]]:
+    """``(stage, whether equal, differences)`` in the stages' order, each under its own relative tolerance.
+
+    A stage that one side lacks is a difference, so the first line that is not equal names
+    where two runs part.
+    """
+    out = []
+    for stage in dict.fromkeys([*expected, *found]):
+        if stage not in found or stage not in expected:
+            off = [f"{stage} is on one side only"]
+        else:
+            off = differences(found[stage], expected[stage], tolerances.get(stage, rtol), at=stage)
+        out.append((stage, not off, off))
+    return out

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -37,20 +38,50 @@ def _loss(model: LogisticRegressionModel, rows: DataFrame) -> float:
     return float(log_loss(scored, "p", "weight").first()[0] or 0.0)
 
 
-def autotune(rows: DataFrame, classes: list, strengths: tuple[float, ...] = (1e-2, 1e-1, 1.0, 1e1, 1e2), test_size: float = 0.3, penalty: float = 1.0, max_iter: int = 50, key: str = "roi_id") -> tuple[LogisticRegressionModel, list[dict]]:
+def log_search(loss: Callable[[float], float], low: float, high: float, coarse: int = 5, most: int = 20, patience: int = 6, least_gain: float = 1e-4) -> list[tuple[float, float]]:
+    """``(x, loss)`` of each trial: a coarse grid of equal ratios, then the middle of the wider gap beside the best so far.
+
+    Ends after ``most`` trials, or ``patience`` in a row after the grid that do not lower the
+    best loss by ``least_gain``.
+    """
+    if not 0 < low < high or coarse < 2:
+        raise ValueError("bounds must be positive and ascending, with two coarse trials at least")
+    step = (math.log(high) - math.log(low)) / (coarse - 1)
+    found = [(x, loss(math.exp(x))) for x in (math.log(low) + k * step for k in range(coarse))][:most]
+    idle = 0
+    while len(found) < most and idle < patience:
+        at, best = min(found, key=lambda t: t[1])
+        below, above = max((x for x, _ in found if x < at), default=None), min((x for x, _ in found if x > at), default=None)
+        widest = max((e for e in (below, above) if e is not None), key=lambda e: abs(e - at))
+        x = (at + widest) / 2
+        found.append((x, loss(math.exp(x))))
+        idle = 0 if found[-1][1] < best - least_gain else idle + 1
+    return [(math.exp(x), v) for x, v in found]
+
+
+def autotune(rows: DataFrame, classes: list, strengths: tuple[float, ...] | None = None, test_size: float = 0.3, penalty: float = 1.0, max_iter: int = 50, key: str = "roi_id", bounds: tuple[float, float] = (1e-5, 1e3), most: int = 20, patience: int = 6) -> tuple[LogisticRegressionModel, list[dict]]:
     """``(model refitted on all rows, trials)``; ``rows`` has ``key, vec, label``.
 
     Classes are balanced by weight; the split is stratified and deterministic; the strength of
-    least penalised test loss wins (ties: the first).
+    least penalised test loss wins (ties: the first). Without ``strengths`` they are searched
+    between ``bounds`` by ``log_search``.
     """
     split = stratified_split(_prepared(rows, classes), "class_position", key, test_size).cache()
     train, test = split.where("NOT is_test"), split.where("is_test")
     n = train.count()
     trials = []
-    for c in strengths:
+
+    def trial(c: float) -> float:
         model = _fit(train, c, n, max_iter)
         a, b = _loss(model, train), _loss(model, test)
         trials.append({"C": c, "train": a, "test": b, "loss": penalised_loss(a, b, penalty)})
+        return trials[-1]["loss"]
+
+    if strengths is None:
+        log_search(trial, *bounds, most=most, patience=patience)
+    else:
+        for c in strengths:
+            trial(c)
     best = min(trials, key=lambda t: t["loss"])["C"]
     final = _fit(split.drop("is_test"), best, split.count(), max_iter)
     split.unpersist()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.checkpoints import cut
 from tessera.operators.order import numbered, placed_in_strata, running_total
 
 
@@ -46,6 +47,35 @@ def by_class(rows: DataFrame, keep: list | None = None, remove: list | None = No
     return rows.where(F.col(column).isin(keep)) if keep is not None else rows.where(~F.col(column).isin(remove))
 
 
+def keep_classes(tables: dict[str, DataFrame], labels: DataFrame, keep: list | None = None, remove: list | None = None) -> dict[str, DataFrame]:
+    """All tables without the objects of some classes: exactly one of ``keep`` and ``remove``.
+
+    ``tables["roi"]`` has ``roi_id, session_id, roi_idx``; every table with a ``roi_id`` loses
+    the objects that go, and the others are numbered anew, in their old order and without gaps,
+    in ``roi_id`` and within their session in ``roi_idx``. ``labels(roi_id, label)`` comes back
+    as table ``labels`` with ``class_index``, the place of the class among those left. Objects
+    without a label go. Tables without a ``roi_id`` are passed on.
+    """
+    left = by_class(labels, keep, remove).where("label IS NOT NULL").select("roi_id", "label")
+    places = numbered(tables["roi"].select("roi_id", "session_id", "roi_idx").join(left, "roi_id"), "session_id", "roi_idx", "roi_id", out="__id")
+    first = places.groupBy("session_id").agg(F.min("__id").alias("__first"))
+    places = cut(places.join(F.broadcast(first), "session_id").select("roi_id", "label", "__id", (F.col("__id") - F.col("__first")).alias("__idx")))  # one row a session
+    classes = numbered(places.select("label").distinct(), "label", out="class_index", kind="int")
+    out = {}
+    for name, rows in tables.items():
+        if "roi_id" in rows.columns:
+            joined = rows.join(places.select("roi_id", "__id", "__idx"), "roi_id")
+            rows = joined.select(*(F.col("__id").alias(c) if c == "roi_id" else F.col("__idx").alias(c) if c == "roi_idx" else c for c in rows.columns))
+        out[name] = rows
+    out["labels"] = places.join(F.broadcast(classes), "label").select(F.col("__id").alias("roi_id"), "label", "class_index")  # one row a class
+    return out
+
+
+def canonical_rows(x: DataFrame) -> DataFrame:
+    """``i, j, ...`` with each row's entries together in one partition and in the order of ``j``: for sinks that read rows in turn."""
+    return x.repartition("i").sortWithinPartitions("i", "j")
+
+
 def least_cluster_size(labels: DataFrame, k: int, column: str = "label") -> DataFrame:
     """Labels with fewer than ``k`` members become -1. Sizes are aggregated first, so a huge cluster is not one task's."""
     big = labels.groupBy(column).agg(F.count("*").alias("__n")).where(F.col("__n") >= k).select(column, F.lit(True).alias("__keep"))

@@ -88,7 +88,7 @@ def track(footprint: DataFrame, roi: DataFrame, features: dict[str, DataFrame] |
     sessions = roi.select(F.countDistinct("session_id")).first()[0]
     method = graph.choose_method(sessions, c["switch"]) if c["method"] == "automatic" else c["method"]
     if method == "density":
-        labels = graph.cluster(pruned, roi, c["min_size"], c["max_size"], c["min_samples"] or c["min_size"], c["leaf"], cutoff if c["rescue"] else None, cutoff)
+        labels = graph.fit(pruned, roi, cutoff, c["min_size"], c["max_size"], c["min_samples"], c["leaf"], c["rescue"])
     else:
         labels = graph.sequential_assignment(pruned, roi, c["thresh_cost"])[0].join(roi.select("roi_id", "session_id"), "roi_id")
     labels = cut(labels)

@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tessera.plans import graphs, more, relational, scalars, spatials  # noqa: F401  (they register on import)
+    from tessera.plans import graphs, more, relational, scalars, sessions, spatials  # noqa: F401  (they register on import)
 
 
 def queries() -> dict[str, Query]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -78,6 +79,30 @@ class Archive:
             raise KeyError(name)
         return self.spark.read.schema(T.StructType.fromJson(tables[name])).parquet(f"{self.root}/{name}")
 
+    def export(self, path: str) -> int:
+        """All files of the archive in one zip on the driver's disk, a file in memory at a time; how many they are."""
+        root = qualified(self.spark, self.root)
+        rows = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root).select("path", "content").orderBy("path")
+        n = 0
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+            for row in rows.toLocalIterator():
+                z.writestr(zipfile.ZipInfo(row["path"].removeprefix(root).lstrip("/")), bytes(row["content"]))
+                n += 1
+        return n
+
+    @classmethod
+    def imported(cls, spark: SparkSession, path: str, root: str) -> Archive:
+        """An exported archive, unpacked below ``root``, which must be new."""
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            raise FileExistsError(root)
+        with zipfile.ZipFile(path) as z:
+            for name in z.namelist():
+                if name.startswith("/") or ".." in name.split("/"):
+                    raise ValueError(f"a member lies outside the archive: {name}")
+                write_bytes(spark, f"{root.rstrip('/')}/{name}", z.read(name))
+        return cls(spark, root)
+
 
 STAT = "session_id int, roi_idx long, ypix array<int>, xpix array<int>, lam array<double>, neuropil_mask array<int>"
 
@@ -88,18 +113,23 @@ def qualified(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
-def write_stat(spark: SparkSession, path: str, records: list[dict]) -> None:
-    """Segmentation records of one session as a NumPy file, wherever Spark can write."""
-    content = io.BytesIO()
-    np.save(content, np.array(records, object), allow_pickle=True)
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file of these bytes, wherever Spark can write."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
     try:
-        out.write(bytearray(content.getvalue()))
+        out.write(bytearray(content))
     finally:
         out.close()
 
 
+def write_stat(spark: SparkSession, path: str, records: list[dict]) -> None:
+    """Segmentation records of one session as a NumPy file, wherever Spark can write."""
+    content = io.BytesIO()
+    np.save(content, np.array(records, object), allow_pickle=True)
+    write_bytes(spark, path, content.getvalue())
+
+
 def read_stat(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Segmentation records of NumPy ``stat`` files, one file per session in the given order.
 

@@ -98,3 +98,16 @@ def save_json(value: Any, path: str) -> None:
 
 def load_json(path: str) -> Any:
     return json.loads(Path(path).read_text())
+
+
+def save_yaml(value: Any, path: str) -> None:
+    """Needs PyYAML, which is not required otherwise."""
+    import yaml
+
+    Path(path).write_text(yaml.safe_dump(value, sort_keys=True))
+
+
+def load_yaml(path: str) -> Any:
+    import yaml
+
+    return yaml.safe_load(Path(path).read_text())
