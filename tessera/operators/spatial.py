@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -216,17 +220,74 @@ def warp_to_remap(m: Column, y: Column, x: Column) -> Column:
     return _bound(F.struct(m.alias("m"), y.alias("y"), x.alias("x")), source)
 
 
-def remap_bilinear(image: DataFrame, remap: DataFrame) -> DataFrame:
-    """``session_id, y, x, v``: an image sampled at ``remap(session_id, y, x, sy, sx)``; outside is 0.
+def _cubic(d: Column) -> Column:
+    d, a = F.abs(d), -0.75
+    return F.when(d <= 1, (a + 2) * d**3 - (a + 3) * d**2 + 1).when(d < 2, a * d**3 - 5 * a * d**2 + 8 * a * d - 4 * a).otherwise(0.0)
+
+
+def _lanczos(d: Column) -> Column:
+    sinc = lambda x: F.when(x == 0, 1.0).otherwise(F.sin(x * math.pi) / (x * math.pi))
+    return F.when(F.abs(d) < 4, sinc(d) * sinc(d / 4)).otherwise(0.0)
+
+
+#: Places from the one at or before the coordinate, and the weight of a distance.
+KERNELS = {"linear": ((0, 1), lambda d: F.greatest(1 - F.abs(d), F.lit(0.0))), "cubic": (range(-1, 3), _cubic), "lanczos": (range(-3, 5), _lanczos)}
+
+
+def _taps(at: Column, method: str) -> Column:
+    """The places on one axis that a coordinate reads, and their weights, which sum to one."""
+    if method == "nearest":
+        return F.array(F.struct(F.floor(at + 0.5).cast("bigint").alias("n"), F.lit(1.0).alias("k")))
+    places, weight = KERNELS[method]
+    first = F.floor(at).cast("bigint")
+    weights = [weight(at - first - k) for k in places]
+    total = functools.reduce(operator.add, weights) if method == "lanczos" else F.lit(1.0)
+    return F.array(*(F.struct((first + k).alias("n"), (w / total).alias("k")) for k, w in zip(places, weights, strict=True)))
+
 
-    One equi-join on the four neighbours of each source coordinate.
+def _inside(n: Column, size: int, border: str) -> Column:
+    """A place on an axis of ``size`` places for any whole number; null outside if the border is constant."""
+    if border == "replicate":
+        return F.greatest(F.least(n, F.lit(size - 1)), F.lit(0))
+    if border == "wrap":
+        return F.pmod(n, F.lit(size))
+    if border == "reflect":
+        turn = F.pmod(n, F.lit(2 * size))
+        return F.least(turn, 2 * size - 1 - turn)
+    return F.when((n >= 0) & (n < size), n)
+
+
+def remap_image(image: DataFrame, remap: DataFrame, method: str = "linear", border: str = "constant", value: float = 0.0, frame: tuple[int, int] | None = None) -> DataFrame:
+    """``session_id, y, x, v``: the image sampled at ``remap(session_id, y, x, sy, sx)``.
+
+    ``method`` is nearest (halves go up), linear, cubic or lanczos (eight places an axis).
+    ``border`` says what lies outside a ``frame`` of (height, width): a constant ``value``, or the
+    image replicated, reflected or wrapped. Places inside that the image lacks are 0; without a
+    frame so is everything outside. A place with a null or NaN coordinate is left out.
+
+    One equi-join on the places that each source coordinate reads.
     """
-    fy, fx = F.floor("sy").cast("bigint"), F.floor("sx").cast("bigint")
-    wy, wx = F.col("sy") - fy, F.col("sx") - fx
-    corners = F.array(*(F.struct((fy + a).alias("ny"), (fx + b).alias("nx"), ((wy if a else 1 - wy) * (wx if b else 1 - wx)).alias("k")) for a in (0, 1) for b in (0, 1)))
-    wanted = remap.select("session_id", "y", "x", F.explode(corners).alias("n")).select("session_id", "y", "x", "n.ny", "n.nx", "n.k").where("k > 0")
+    if method != "nearest" and method not in KERNELS:
+        raise ValueError(f"no such method: {method}")
+    if border not in ("constant", "replicate", "reflect", "wrap"):
+        raise ValueError(f"no such border: {border}")
+    if frame is None and (border != "constant" or value):
+        raise ValueError("a border needs the frame's height and width")
+    rows = remap.where("sy IS NOT NULL AND sx IS NOT NULL AND NOT isnan(sy) AND NOT isnan(sx)")
+    rows = rows.select("session_id", "y", "x", "sx", F.explode(_taps(F.col("sy"), method)).alias("a"))
+    rows = rows.select("session_id", "y", "x", "a", F.explode(_taps(F.col("sx"), method)).alias("b"))
+    ny, nx = F.col("a.n"), F.col("b.n")
+    if frame is not None:
+        ny, nx = _inside(ny, frame[0], border), _inside(nx, frame[1], border)
+    wanted = rows.select("session_id", "y", "x", ny.alias("ny"), nx.alias("nx"), (F.col("a.k") * F.col("b.k")).alias("k")).where("k <> 0")
     found = wanted.join(image.select("session_id", F.col("y").alias("ny"), F.col("x").alias("nx"), "v"), ["session_id", "ny", "nx"], "left")
-    return found.groupBy("session_id", "y", "x").agg(F.sum(F.col("k") * F.coalesce("v", F.lit(0.0))).alias("v"))
+    missing = F.when(F.col("ny").isNull() | F.col("nx").isNull(), F.lit(float(value))).otherwise(0.0)
+    return found.groupBy("session_id", "y", "x").agg(F.sum(F.col("k") * F.coalesce("v", missing)).alias("v"))
+
+
+def remap_bilinear(image: DataFrame, remap: DataFrame) -> DataFrame:
+    """``remap_image`` between four neighbours; outside is 0."""
+    return remap_image(image, remap)
 
 
 def flow_to_remap(flow: DataFrame) -> DataFrame:

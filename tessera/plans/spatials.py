@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -152,6 +154,29 @@ def mix_fov(spark, d):
     return P.mix_footprints(P.global_minmax(P.max_projection(f)), f, 0.25).select("session_id", "pixel", F.round("v", 6).alias("v"))
 
 
+_BORDERS = ("replicate", "reflect", "wrap")
+_KEYS = "CASE WHEN d <= 1 THEN 1.25 * d * d * d - 2.25 * d * d + 1 ELSE -0.75 * d * d * d + 3.75 * d * d - 6 * d + 3 END"
+
+
+@register("remap_borders", Q.with_(Q.FOOTPRINT, _IMG, "h AS (SELECT max(y) + 1 AS h FROM img)",
+  f"ky AS (SELECT i AS dy, {_KEYS} AS wy FROM (SELECT i, abs(0.25::DOUBLE - (i - 1)) AS d FROM range(4) r(i)))",
+  f"kx AS (SELECT i - 1 AS dx, {_KEYS} AS wx FROM (SELECT i, abs(0.5::DOUBLE - (i - 1)) AS d FROM range(4) r(i)))",
+  """taps AS (SELECT border, session_id, y, x, wy * wx AS k,
+    CASE border WHEN 'replicate' THEN least(y + dy, h - 1) WHEN 'wrap' THEN (y + dy) % h ELSE least(y + dy, 2 * h - 1 - y - dy) END AS ny,
+    CASE border WHEN 'replicate' THEN greatest(least(x + dx, 39), 0) WHEN 'wrap' THEN (x + dx + 40) % 40 ELSE CASE WHEN x + dx < 0 THEN -1 - x - dx ELSE least(x + dx, 79 - x - dx) END END AS nx
+    FROM (SELECT DISTINCT session_id FROM img), h, (SELECT unnest(range(h)) AS y FROM h), range(40) b(x), ky, kx, (VALUES ('replicate'), ('reflect'), ('wrap')) m(border))""")
+  + "SELECT border, taps.session_id, taps.y, taps.x, round(sum(k * coalesce(v, 0)), 6) AS v FROM taps LEFT JOIN img ON img.session_id = taps.session_id AND img.y = ny AND img.x = nx GROUP BY ALL")
+def remap_borders(spark, d):
+    """Every pixel, moved by cubic interpolation under each border."""
+    f = H.footprint(spark, d)
+    height = H.frame_height(f, WIDTH)
+    image = f.groupBy("session_id", F.floor(F.col("pixel") / WIDTH).cast("bigint").alias("y"), (F.col("pixel") % WIDTH).alias("x")).agg(F.max("weight").alias("v"))
+    places = spark.range(height).toDF("y").crossJoin(spark.range(WIDTH).toDF("x"))
+    flow = image.select("session_id").distinct().crossJoin(F.broadcast(places)).withColumns({"dy": F.lit(1.25), "dx": F.lit(0.5)})
+    drawn = [P.remap_image(image, P.flow_to_remap(flow), "cubic", border, frame=(height, WIDTH)).withColumn("border", F.lit(border)) for border in _BORDERS]
+    return functools.reduce(lambda a, b: a.unionByName(b), drawn).select("border", "session_id", "y", "x", F.round("v", 6).alias("v"))
+
+
 @register("warp_footprints", _FP + "SELECT roi_id, session_id, pixel, round(w / sum(w) OVER (PARTITION BY roi_id), 9) AS weight FROM (SELECT roi_id, session_id, (pixel // 40 + 2) * 40 + pixel % 40 + 1 AS pixel, weight AS w FROM footprint WHERE pixel // 40 + 2 <= (SELECT max(pixel) // 40 FROM footprint) AND pixel % 40 + 1 < 40)")
 def warp_footprints(spark, d):
     """All footprints, in a frame that holds every pixel."""

@@ -154,3 +154,46 @@ def test_stat_files_keep_their_sessions(spark, tmp_path):
         files.write_stat(spark, path, [{"ypix": [k], "xpix": [1], "lam": [2.0]}] * (k + 1))
     got = files.read_stat(spark, paths[::-1])
     assert sorted((r["session_id"], r["roi_idx"], r["ypix"]) for r in got.collect()) == sorted((2 - k, i, [k]) for k in range(3) for i in range(k + 1))
+
+
+def _weight(method, d):
+    d = abs(d)
+    if method == "linear":
+        return max(1 - d, 0.0)
+    if method == "cubic":
+        return 1.25 * d**3 - 2.25 * d**2 + 1 if d <= 1 else -0.75 * (d**3 - 5 * d**2 + 8 * d - 4) if d < 2 else 0.0
+    return float(np.sinc(d) * np.sinc(d / 4)) if d < 4 else 0.0
+
+
+def _sampled(img, at, method, border, value):
+    """One value of ``img`` at ``at``, axis by axis over a padded copy."""
+    pad = 40
+    modes = {"replicate": {"mode": "edge"}, "reflect": {"mode": "symmetric"}, "wrap": {"mode": "wrap"}, "constant": {"mode": "constant", "constant_values": value}}
+    wide = np.pad(img, pad, **modes[border])
+    if method == "nearest":
+        y, x = (int(np.floor(c + 0.5)) + pad for c in at)
+        return wide[y, x]
+    weights = [np.array([_weight(method, c + pad - k) for k in range(n)]) for c, n in zip(at, wide.shape, strict=True)]
+    return float((weights[0] / weights[0].sum()) @ wide @ (weights[1] / weights[1].sum()))
+
+
+@pytest.mark.parametrize("border", ["constant", "replicate", "reflect", "wrap"])
+def test_remapping_equals_sampling_a_padded_image(spark, border):
+    rng = np.random.default_rng(6)
+    img = rng.random((5, 7))
+    image = spark.createDataFrame([(0, y, x, float(img[y, x])) for y in range(5) for x in range(7)], "session_id int, y long, x long, v double")
+    places = [(float(a), float(b)) for a, b in rng.uniform(-9, 16, (30, 2))] + [(0.0, 0.0), (2.5, -0.5), (4.0, 6.0), (-7.0, 20.0)]
+    remap = spark.createDataFrame([(0, k, 0, sy, sx) for k, (sy, sx) in enumerate(places)] + [(0, 99, 0, None, 1.0), (0, 98, 0, 1.0, math.nan)], "session_id int, y long, x long, sy double, sx double")
+    for method in ("nearest", "linear", "cubic", "lanczos"):
+        got = {r["y"]: r["v"] for r in spatial.remap_image(image, remap, method, border, 2.0 if border == "constant" else 0.0, (5, 7)).collect()}
+        assert sorted(got) == list(range(len(places)))
+        np.testing.assert_allclose([got[k] for k in range(len(places))], [_sampled(img, at, method, border, 2.0) for at in places], atol=1e-9)
+
+
+def test_remapping_refuses_what_it_does_not_know(spark):
+    rows = spark.createDataFrame([], "session_id int, y long, x long, v double")
+    remap = spark.createDataFrame([], "session_id int, y long, x long, sy double, sx double")
+    for arguments in ({"method": "spline"}, {"border": "mirror"}, {"border": "wrap"}, {"value": 1.0}):
+        with pytest.raises(ValueError):
+            spatial.remap_image(rows, remap, **arguments)
+    assert spatial.remap_image(rows, remap, "lanczos", "wrap", frame=(3, 3)).count() == 0
