@@ -133,7 +133,10 @@ def scan_versions(versions: DataFrame, path_col: str = "doc_id", text_col: str =
     if not unseen.isEmpty():
         texts = rows.join(unseen, F.col("path").eqNullSafe(F.col("holder")) & (_blob("text") == F.col("blob"))).select("blob", "text")
         ledger.append(texts.mapInArrow(_scan, FOUND).dropDuplicates(["blob"]), rule_version)
-    return held.join(ledger.of(rule_version).dropDuplicates(["blob"]), "blob").select("path", *(part.strip().split(" ", 1)[0] for part in FOUND.split(", ")))
+    columns = [part.strip().split(" ", 1)[0] for part in FOUND.split(", ")]
+    # not dropDuplicates: Spark 4.1 loses its columns when the result is used in exceptAll
+    known = ledger.of(rule_version).groupBy("blob").agg(*(F.first(c).alias(c) for c in columns[1:]))
+    return held.join(known, "blob").select("path", *columns)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", ledger: Ledger | None = None) -> DataFrame:
