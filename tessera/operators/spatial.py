@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalar as S
+from tessera.operators.checkpoints import cut
 
 
 def _y(width: int) -> Column:
@@ -130,10 +131,29 @@ def block_members(footprint: DataFrame, blocks: DataFrame, width: int) -> DataFr
     return pixels.join(spread, ["cy", "cx"]).where("y >= y0 AND y < y1 AND x >= x0 AND x < x1").select("roi_id", "block_id").distinct()
 
 
-def block_candidates(members: DataFrame) -> DataFrame:
-    """``i, j``: pairs that share a block, once each."""
-    a, b = members.toDF("i", "block_id"), members.toDF("j", "block_id")
-    return a.join(b, "block_id").where("i < j").select("i", "j").distinct()
+#: Objects of a chunk of a class, and pairs that one task lists.
+CLASS_CHUNK = 1000
+PAIRS_A_TASK = 4_000_000
+
+
+def block_candidates(members: DataFrame, chunk: int = CLASS_CHUNK) -> DataFrame:
+    """``i, j``: pairs that share a block, once each.
+
+    Objects of the same blocks are one class. Classes that share a block are found once each, so
+    no pair arises twice and none is shuffled: classes meet as chunks of about ``chunk`` ids,
+    and the pairs of two chunks are listed where these have met.
+    """
+    own = members.where("block_id IS NOT NULL").groupBy("roi_id").agg(F.array_sort(F.collect_set("block_id")).alias("blocks"))
+    named = own.groupBy("blocks").agg(F.min("roi_id").alias("c"), F.count("*").alias("n"))
+    dealt = own.join(named, "blocks").select("c", F.pmod(F.xxhash64("roi_id"), F.ceil(F.col("n") / chunk)).alias("k"), "roi_id")
+    chunks = cut(dealt.groupBy("c", "k").agg(F.collect_list("roi_id").alias("ids")))
+    at = cut(named.select("c", F.explode("blocks").alias("block_id")))
+    classes = at.toDF("c", "block_id").join(at.toDF("d", "block_id"), "block_id").where("c <= d").select("c", "d").distinct()
+    met = cut(classes.join(chunks.toDF("c", "k", "x"), "c").join(chunks.toDF("d", "l", "y"), "d").where("c < d OR k <= l"))
+    n = met.agg(F.sum(F.size("x").cast("long") * F.size("y"))).first()[0] or 0
+    pairs = met.repartition(max(1, -(-n // PAIRS_A_TASK)), "c", "d", "k", "l").withColumn("same", (F.col("c") == F.col("d")) & (F.col("k") == F.col("l")))
+    listed = pairs.select("same", "y", F.explode("x").alias("a")).select("same", "a", F.explode("y").alias("b")).where("NOT same OR a < b")
+    return listed.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
 
 
 def nearest_grid(points: DataFrame, spark: SparkSession, n: int, low: float, high: float, most: float) -> DataFrame:
