@@ -26,3 +26,19 @@ def test_pairs_of_blocks_are_listed_once_without_a_shuffle_of_pairs(spark, sf_di
     shape = plan(registry.queries()["block_candidates"](spark, sf_dir))
     assert "Aggregate" not in shape and "Join" not in shape
     assert spatial.block_candidates(members.limit(0)).isEmpty()
+
+
+def test_a_metric_of_two_parts_never_sees_a_whole_block(spark):
+    rows = spark.createDataFrame([(k, k % 2 if k else None, float(k * k % 31)) for k in range(121)], "roi_id long, block_id int, v double")
+
+    def near(left, right):
+        assert max(len(left), len(right)) <= 40
+        own, other = left["roi_id"].to_numpy()[:, None], right["roi_id"].to_numpy()[None, :]
+        a, b = np.nonzero(own < other if left is right else own != other)
+        i, j = left["roi_id"].to_numpy()[a], right["roi_id"].to_numpy()[b]
+        return pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "s": np.abs(left["v"].to_numpy()[a] - right["v"].to_numpy()[b])})
+
+    want = sorted((i, j, abs(float(i * i % 31) - float(j * j % 31))) for i, j in itertools.combinations(range(1, 121), 2) if i % 2 == j % 2)
+    assert sorted(map(tuple, similarity.custom_metric(rows, near, part=15).collect())) == want
+    twice = rows.unionByName(rows.where("roi_id > 0").withColumn("block_id", F.col("block_id") + 2))
+    assert sorted(map(tuple, similarity.custom_metric(twice, near, part=15).collect())) == want
