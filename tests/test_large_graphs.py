@@ -63,3 +63,16 @@ def test_both_metrics_of_an_edge_come_from_where_the_blocks_meet(spark, sf_dir):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and not got.isEmpty()
     shape = plan(graphs.distances(spark, sf_dir))
     assert "Join" not in shape and "Scan ExistingRDD" not in shape
+
+
+def test_a_sample_keeps_and_ranks_only_ranges_that_reach_it(spark, monkeypatch):
+    seen = []
+    placed = filters.placed_in_strata
+    monkeypatch.setattr(filters, "placed_in_strata", lambda rows, *a: seen.append(rows.count()) or placed(rows, *a))
+    rows = [(k, 0, None if k % 50 == 0 else k % 10 == 0) for k in range(20_000)]
+    got = filters.stratified_sample(spark.createDataFrame(rows, "i long, j long, inter boolean"), "inter", 500, ("i", "j"), 30)
+    want = []
+    for s in (True, False):
+        own = sorted((k * 7919 % 1_000_003, k) for k, _, x in rows if x is s)
+        want += [k for _, k in own[: max(len(own) * 500 // 20_000, 30)]]
+    assert sorted(r["i"] for r in got.collect()) == sorted(want) and seen[0] < 1000
