@@ -65,6 +65,16 @@ def test_both_metrics_of_an_edge_come_from_where_the_blocks_meet(spark, sf_dir):
     assert "Join" not in shape and "Scan ExistingRDD" not in shape
 
 
+def test_metrics_are_calibrated_together_as_alone(spark, sf_dir):
+    g = graphs.graph(spark, sf_dir).cache()
+    both = calibrate.calibrate_features(g, ["s_nn", "s_swt"], 20, 3)
+    assert both == {c: calibrate.calibrate_feature(g, c, 20, 3) for c in both}
+    low, high = g.agg(F.min("s_nn"), F.max("s_nn")).first()
+    want = np.histogram([r[0] for r in g.select("s_nn").collect()], 20, (low - 1e-6, high + 1e-6))[0]
+    assert [r["n_all"] for r in both["s_nn"]] == want.tolist()
+    g.unpersist()
+
+
 def test_a_sample_keeps_and_ranks_only_ranges_that_reach_it(spark, monkeypatch):
     seen = []
     placed = filters.placed_in_strata
