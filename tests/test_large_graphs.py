@@ -65,6 +65,17 @@ def test_both_metrics_of_an_edge_come_from_where_the_blocks_meet(spark, sf_dir):
     assert "Join" not in shape and "Scan ExistingRDD" not in shape
 
 
+def test_second_order_similarity_from_vectors_equals_the_join(spark):
+    for copies in ((), (4,)):
+        v = vectors(spark, copies=copies).select("roi_id", F.col("a").alias("vec"))
+        e = similarity.dense_cosine(v, 0.3)
+        want = e.where("i < j").join(similarity.weighted_jaccard(e), ["i", "j"]).select("i", "j", F.round("s", 9), F.round("jaccard", 9))
+        for block, span in ((4000, 4), (11, 2)):
+            got = similarity.dense_jaccard(v, 0.3, block, span).select("i", "j", F.round("s", 9), F.round("jaccard", 9))
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in plan(similarity.dense_jaccard(vectors(spark).select("roi_id", F.col("a").alias("vec")), 0.3)).replace("BroadcastNestedLoopJoin", "")
+
+
 def test_metrics_are_calibrated_together_as_alone(spark, sf_dir):
     g = graphs.graph(spark, sf_dir).cache()
     both = calibrate.calibrate_features(g, ["s_nn", "s_swt"], 20, 3)
