@@ -107,7 +107,8 @@ w AS (SELECT i, sum(s) AS w FROM edges GROUP BY i)
 SELECT e.i, e.j, round(0.4 * coalesce(lo, 0) / greatest(x.w + y.w - 2 * s - coalesce(lo, 0), 1e-12) * (x.w + y.w - 2 * s - coalesce(lo, 0) > 1e-12)::INTEGER + 0.6 * s, 6) AS s
 FROM edges e LEFT JOIN t USING (i, j) JOIN w x ON x.i = e.i JOIN w y ON y.i = e.j""")
 def jaccard_blend(spark, d):
-    return M.apply_jaccard(G.edges(spark, d), 0.4).select("i", "j", F.round("s", 6).alias("s"))
+    found = M.dense_jaccard(H.vectors(spark, d).select("roi_id", F.col("s_nn").alias("vec")), G.LEAST)
+    return M.mirror(M.blend_jaccard(found, 0.4)).select("i", "j", F.round("s", 6).alias("s"))
 
 
 @register("prune_by_crossover", G._B.rstrip() + ", " + G._PEAK + f", cut_ AS (SELECT (SELECT min(d) FROM dist) + ((k + 1) / {G.BINS}.0 - (SELECT min(d) FROM dist)) * 0.9 AS c FROM cross_) SELECT i, j, round(d, 6) AS d FROM dist, cut_ WHERE d < c")
