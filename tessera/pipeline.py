@@ -5,13 +5,14 @@ from __future__ import annotations
 import argparse
 import json
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import config
-from tessera.operators import calibrate, graph, ids, quality, search, similarity, spatial
-from tessera.operators.checkpoints import cut
+from tessera.operators import calibrate, graph, ids, overlap, quality, search, similarity, spatial
+from tessera.operators.checkpoints import cut, stored
 
 DEFAULTS: dict = {
     "frame": {"height": 512, "width": 512},
@@ -26,11 +27,25 @@ DEFAULTS: dict = {
 
 @dataclass
 class Tracked:
+    """Labels, the pruned edges, and all edges' similarities ``i, j, s``, from which the quality is found when it is asked for."""
+
     labels: DataFrame
     edges: DataFrame
-    clusters: DataFrame
-    samples: DataFrame
+    sims: DataFrame
     params: dict = field(default_factory=dict)
+    anew: bool = False
+
+    @cached_property
+    def quality(self) -> tuple[DataFrame, DataFrame]:
+        return quality.quality_report(stored(self.sims) if self.anew else self.sims, self.labels)
+
+    @property
+    def clusters(self) -> DataFrame:
+        return self.quality[0]
+
+    @property
+    def samples(self) -> DataFrame:
+        return self.quality[1]
 
     def save(self, root: str) -> None:
         """Labels, edges and quality as Parquet, the parameters as JSON."""
@@ -40,45 +55,67 @@ class Tracked:
 
 
 def similarity_graph(footprint: DataFrame, roi: DataFrame, features: dict[str, DataFrame], params: dict) -> DataFrame:
-    """``i, j, s_sf, s_<feature>..., inter``, directed: pairs whose footprints overlap, then their features' z-scores."""
-    height, width = params["frame"]["height"], params["frame"]["width"]
-    blurred = spatial.blur(footprint, params["blur"]["half_width"], height, width)
-    edges = similarity.footprint_similarity(blurred, params["similarity"]["mask_power"], directed=True).withColumnRenamed("s", "s_sf")
-    edges = cut(similarity.inter_session(edges, roi))
+    """``i, j, s_sf, s_<feature>..., inter``, directed: pairs whose footprints overlap, then their features' z-scores.
+
+    All of an edge is found where the blocks of its ends meet, each time the edges are read. If ids
+    repeat or a session or vector is missing, it is put together by joins, and kept.
+    """
+    half_width, power = params["blur"]["half_width"], params["similarity"]["mask_power"]
+    if half_width:
+        rows = overlap.unpack(footprint).withColumn("session_id", F.lit(0)) if overlap.is_packed(footprint) else footprint
+        footprint = spatial.blur(rows, half_width, params["frame"]["height"], params["frame"]["width"])
+    packed = footprint if overlap.is_packed(footprint) else cut(overlap.pack(footprint))
     n = roi.select(F.countDistinct("session_id")).first()[0]
     donut = cut(similarity.knn_donut(roi, n * params["normalization"]["k_min"], n * params["normalization"]["k_max"])) if features else None
+    scored = bool(features) and not donut.isEmpty()
+    if overlap.one_row_each(roi, features):
+        objects = roi.select(F.col("roi_id").cast("long").alias("roi_id"), "session_id", F.lit(True).alias("scored"))
+        for name, vectors in features.items():
+            objects = overlap.vector_columns(objects, vectors, similarity.donut_stats(donut, vectors) if scored else None, name)
+        return overlap.overlap_edges(packed, cut(objects), list(features), power)
+    edges = similarity.footprint_similarity(overlap.unpack(packed), power, directed=True).withColumnRenamed("s", "s_sf")
+    edges = stored(similarity.inter_session(edges, roi))
     for name, vectors in features.items():
         raw = similarity.masked_cosine(edges, vectors, f"s_{name}")
-        edges = similarity.zscore(raw, similarity.donut_stats(donut, vectors), f"s_{name}", f"s_{name}") if donut.count() else raw
-    return cut(edges)
+        edges = similarity.zscore(raw, similarity.donut_stats(donut, vectors), f"s_{name}", f"s_{name}") if scored else raw
+    return stored(edges)
 
 
-def mixing(edges: DataFrame, names: list[str], params: dict) -> tuple[dict[str, dict], float, tuple[int, int]]:
-    """Each metric's sigmoid and power, the order of the power mean, and ``(bins, window)``."""
+def mixing(edges: DataFrame, names: list[str], params: dict, bins: int, window: int) -> tuple[dict[str, dict], float]:
+    """Each metric's sigmoid and power, and the order of the power mean."""
     m = params["mixing"]
-    bins, window = calibrate.default_bins(edges.count())
-    bins, window = m["n_bins"] or bins, m["window"] or window
     if m["method"] == "manual" or edges.where("NOT inter").isEmpty():
-        return {f"s_{k}": ({} if k == "sf" else dict(m["sigmoid"])) | {"power": m["powers"].get(k, 1.0)} for k in names}, m["p_norm"], (bins, window)
+        return {f"s_{k}": ({} if k == "sf" else dict(m["sigmoid"])) | {"power": m["powers"].get(k, 1.0)} for k in names}, m["p_norm"]
     sigmoid = {}
     for k in names:
         best = calibrate.fisher_sigmoid(calibrate.same_diff_bins(edges, f"s_{k}", bins, window), bins).first()
         sigmoid[f"s_{k}"] = (best["mu"], best["b"])
     found = search.mixing_search(edges, sigmoid, bins, window, m["sample"], m["seed"], generations=m["generations"])
-    return {k: {"mu": sigmoid[k][0], "b": sigmoid[k][1], "power": p} for k, p in found["powers"].items()}, found["p_norm"], (bins, window)
+    return {k: {"mu": sigmoid[k][0], "b": sigmoid[k][1], "power": p} for k, p in found["powers"].items()}, found["p_norm"]
 
 
 def track(footprint: DataFrame, roi: DataFrame, features: dict[str, DataFrame] | None = None, params: dict | None = None) -> Tracked:
-    """``footprint(roi_id, session_id, pixel, weight)``, ``roi(roi_id, session_id, cy, cx)``, ``features``: name -> ``(roi_id, vec)``."""
+    """``footprint(roi_id, session_id, pixel, weight)``, ``roi(roi_id, session_id, cy, cx)``, ``features``: name -> ``(roi_id, vec)``.
+
+    ``footprint`` may also be an ``overlap.pack``. With powers and cutoff given, one pass over the
+    edges finds the pruned ones, and the others are never written; what is to be fitted takes more
+    passes, for which the edges are written once.
+    """
     params = config.prepare(params or {}, DEFAULTS)
     features = features or {}
     edges = similarity_graph(footprint, roi, features, params)
-    settings, p, (bins, window) = mixing(edges, ["sf", *features], params)
-    mixed = cut(calibrate.conjunctive(edges, settings, p))
-    prune = params["pruning"]
+    prune, m = params["pruning"], params["mixing"]
+    anew = m["method"] == "manual" and prune["d_cutoff"] is not None and not prune["probability"]
+    bins = window = 0
+    if not anew:
+        edges = stored(edges)
+        bins, window = calibrate.default_bins(edges.count())
+        bins, window = m["n_bins"] or bins, m["window"] or window
+    settings, p = mixing(edges, ["sf", *features], params, bins, window)
+    mixed = calibrate.conjunctive(edges, settings, p)
     if prune["probability"]:
         table = calibrate.monotone_probability(calibrate.same_diff_bins(mixed, "d", bins, window, 0.0, 1.0), bins, window)
-        mixed = cut(calibrate.to_probability(mixed, [r["p"] for r in table.orderBy("bin").collect()]))
+        mixed = calibrate.to_probability(mixed, [r["p"] for r in table.orderBy("bin").collect()])
     cutoff = prune["d_cutoff"]
     if cutoff is None:
         cross, least = calibrate.crossover(mixed, bins, window).first()["d_crossover"], mixed.agg(F.min("d")).first()[0]
@@ -93,8 +130,7 @@ def track(footprint: DataFrame, roi: DataFrame, features: dict[str, DataFrame] |
         labels = graph.sequential_assignment(pruned, roi, c["thresh_cost"])[0].join(roi.select("roi_id", "session_id"), "roi_id")
     labels = cut(labels)
     sims = mixed.select("i", "j", F.col("sim").alias("s"))
-    clusters, samples = quality.quality_report(sims, labels)
-    return Tracked(labels, pruned, clusters, samples, params | {"fitted": {"metrics": settings, "p_norm": p, "d_cutoff": cutoff, "method": method}})
+    return Tracked(labels, pruned, sims, params | {"fitted": {"metrics": settings, "p_norm": p, "d_cutoff": cutoff, "method": method}}, anew)
 
 
 def good_samples(tracked: Tracked, cluster_silhouette: float = 0.2, sample_silhouette: float = 0.1) -> DataFrame:

@@ -133,11 +133,13 @@ def scattering_features(spark, d):
 @register("tracking_pipeline")
 def tracking_pipeline(spark, d):
     """Suppliers tracked by the parts they deliver, nation groups as sessions."""
+    from tessera.operators.checkpoints import cut
+    from tessera.operators.overlap import pack, unpack
     from tessera.operators.spatial import centroid
     from tessera.pipeline import track
 
-    f = H.footprint(spark, d)
-    roi = f.select("roi_id", "session_id").distinct().join(centroid(f, 40), "roi_id")
+    f = cut(pack(H.footprint(spark, d, near=True)))
+    roi = cut(f.select("roi_id").join(H.footprint_sessions(spark, d).distinct(), "roi_id").join(centroid(unpack(f), 40), "roi_id"))
     params = {"frame": {"height": 500, "width": 40}, "normalization": {"k_min": 1, "k_max": 4}, "mixing": {"method": "manual"}, "pruning": {"d_cutoff": 0.85}}
     return track(f, roi, {"nn": H.latent(spark, d, "nn")}, params).labels
 
